@@ -1,11 +1,11 @@
-"""A corpus pipeline of five operators: each stage works on what its predecessor kept."""
+"""A corpus pipeline of five operators (language ID, n-gram join, decontamination, PII, packing): each stage works on what its predecessor kept."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import decontaminate, lang_id, ngram_join, packing
+from weftgraph.llm import decontaminate, lang_id, ngram_join, packing, pii
 from weftgraph.llm.common import table, written
 
 
@@ -25,6 +25,11 @@ def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data in their texts masked."""
+    return pii.mask(docs, chars_col="n_chars" if "n_chars" in docs.columns else None)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents' pieces in sequences of 4096 tokens."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -34,6 +39,7 @@ STAGES = [
     ("language", language),
     ("near_copies", near_copies),
     ("decontamination", clean_of_benchmark),
+    ("pii", without_personal_data),
     ("packing", packed),
 ]
 
