@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, only, written
+from .common import BROADCAST_ROWS, map_rows, written
 from .components import components
 from .decontaminate import words
 
@@ -204,7 +204,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.when(small, F.pmod(F.xxhash64("comp"), F.lit(bins))).otherwise(F.least("chunk", "other")).cast("bigint").alias("g1"),
         F.when(small, F.lit(0)).otherwise(F.greatest("chunk", "other")).alias("g2"),
     )
-    texts = source.select("place", "text").join(dealt, "place")
+    dealt = written(dealt, "dealt")
+    # Few rows have a partner at all; up to a counted bound they go to the texts, beyond it both are shuffled.
+    texts = source.select("place", "text").join(F.broadcast(dealt) if dealt.count() <= BROADCAST_ROWS else dealt, "place")
 
     def verify(group: pa.Table) -> pa.Table:
         place, comp, m, chunk = (group.column(c).to_numpy() for c in ("place", "comp", "m", "chunk"))
