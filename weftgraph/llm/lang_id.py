@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, filter_rows, map_rows, only
+from .common import BROADCAST_ROWS, checked_broadcast, filter_rows, map_rows, only
 
 #: Labelled rows of a language that the trees are grown from: those with the smallest hashes of their ids.
 TRAIN_DOCS = 1000
@@ -104,14 +104,18 @@ def held_out(doc_id: str) -> F.Column:
 def fit(df: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], dict[str, tuple[np.ndarray, np.ndarray]]]:
     """Languages, and counts of each one's 4-grams, over at most ``train_docs`` whole texts of a language.
 
-    ``df`` has ``doc_id, text, lang``. Ids are ranked by hash within a language (Spark limits
-    each partition before the shuffle, so a hot language does not gather in one task); the
-    texts are then read for those ids alone. What reaches the driver is bounded by
+    ``df`` has ``doc_id, text, lang``. Ids of a language are thinned by their hash to about
+    twice as many as wanted and the least ranked, so a hot language does not gather in one
+    task; the texts are then read for those ids alone. What reaches the driver is bounded by
     languages times ``train_docs`` texts' distinct 4-grams.
     """
     rows = df.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    keep = rows.select("lang", "doc_id").withColumn("rank", rank).filter(F.col("rank") <= train_docs).select("doc_id").distinct()
+    ids = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
+    # A hash below the share that leaves about twice as many ids as wanted: a hot language is thinned in the scan.
+    share = ids.groupBy("lang").agg((F.lit(2.0 * train_docs) / F.count(F.lit(1))).alias("share"))
+    unit = F.col("h") / F.lit(2.0**64) + 0.5
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    keep = ids.join(checked_broadcast(share), "lang").filter(unit < F.col("share")).withColumn("rank", rank).filter(F.col("rank") <= train_docs).select("doc_id").distinct()
     few = keep.limit(BROADCAST_ROWS + 1).collect()
     if len(few) <= BROADCAST_ROWS:
         keep = F.broadcast(df.sparkSession.createDataFrame(few, keep.schema))
