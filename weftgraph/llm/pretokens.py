@@ -17,10 +17,10 @@ from collections import ChainMap
 import regex
 
 # The pre-token patterns of the two tokenizer files, and ranges of characters
-# that every Unicode version in use classifies alike.
+# that every Unicode version in use classifies alike and whose lower case is among them.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_END = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-SAFE = "\u0000-\u012f\u0131-\u02ff\u0400-\u052f\u1e00-\u1eff\u2000-\u2070\u20a0-\u20bf\u2190-\u2bff\u3000-\u3096\u30a0-\u30fe\u4e00-\u9fef\uac00-\ud7a3"
+SAFE = "\u0000-\u012f\u0131-\u0239\u0250-\u02ff\u0400-\u052f\u1e00-\u1eff\u2000-\u2070\u20a0-\u20bf\u2190-\u2bff\u3000-\u3096\u30a0-\u30fe\u4e00-\u9fef\uac00-\ud7a3"
 
 _unsafe = re.compile(f"[^{SAFE}]")
 
