@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from weftgraph.llm import decontaminate, lang_id, ngram_join, packing, pii
-from weftgraph.llm.common import table, written
+from weftgraph.llm.common import owned, release, table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,8 +18,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the first, of each group linked by word 5-grams at 0.8 or more."""
-    rows = ngram_join.near_duplicates(docs, keep=docs.columns)
-    return rows.filter("first").select(*[rows["kept"].getField(c).alias(c) for c in docs.columns])
+    return ngram_join.one_of_each(docs)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,12 +36,24 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def _stage(work):
+    """A stage that first deletes the working tables of the stages before it: their results have been written by now."""
+
+    @functools.wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, "pipeline")
+        with owned("pipeline"):
+            return work(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("language", language),
-    ("near_copies", near_copies),
-    ("decontamination", clean_of_benchmark),
-    ("pii", without_personal_data),
-    ("packing", packed),
+    ("language", _stage(language)),
+    ("near_copies", _stage(near_copies)),
+    ("decontamination", _stage(clean_of_benchmark)),
+    ("pii", _stage(without_personal_data)),
+    ("packing", _stage(packed)),
 ]
 
 #: SQL cannot express the learned stages; tests hold the pipeline against a brute-force version.
@@ -52,5 +65,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = written(docs, name)
+            docs = written(docs, name, registered=False)
     return docs

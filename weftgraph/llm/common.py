@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,7 +15,11 @@ from pyspark.sql import types as T
 #: Largest side, in rows, that an operator broadcasts after having counted it.
 BROADCAST_ROWS = 200_000
 
-_written: dict[str, list[str]] = {}
+#: The same for a single column of numbers (about 24 bytes a row).
+BROADCAST_IDS = 2_000_000
+
+_written: dict[tuple[str, str], list[str]] = {}
+_owner = ["queries"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,27 +32,39 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, registered: bool = True) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back.
 
     It cuts the lineage so that an expensive pass runs once, and it survives lost
-    executors: the files are in the shared folder, not in an executor's memory.
+    executors: the files are in the shared folder, not in an executor's memory. The file
+    is deleted by :func:`release` for its owner, unless it is not ``registered``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftgraph/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    if registered:
+        _written.setdefault((spark.sparkContext.applicationId, _owner[-1]), []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes every table that :func:`written` made in this application."""
+def release(spark: SparkSession, owner: str = "queries") -> None:
+    """Deletes every table that :func:`written` made for an owner in this application."""
     jvm = spark._jvm
-    for path in _written.pop(spark.sparkContext.applicationId, []):
+    for path in _written.pop((spark.sparkContext.applicationId, owner), []):
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextlib.contextmanager
+def owned(owner: str):
+    """Tables written within belong to ``owner``."""
+    _owner.append(owner)
+    try:
+        yield
+    finally:
+        _owner.pop()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

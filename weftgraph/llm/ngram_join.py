@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, map_rows, written
+from .common import BROADCAST_IDS, BROADCAST_ROWS, map_rows, only, written
 from .components import components
 from .decontaminate import words
 
@@ -139,13 +139,12 @@ def _roots(link: np.ndarray) -> np.ndarray:
     return root
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, keep: list[str] | None = None) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """All links of Jaccard at least ``threshold`` on word n-grams, as one row per input row.
 
     Returns ``doc_id, class_id, n_links, n_class``: class_id is the least doc_id of the
     connected group, n_links the number of other rows whose text is at least that similar
-    (copies counted, not expanded into pairs), n_class the group's rows. ``keep`` names
-    further columns of ``df`` to carry along; they come back in one struct ``kept``.
+    (copies counted, not expanded into pairs), n_class the group's rows.
 
     1. One pass hashes each text's set of n-grams and its MinHash bands; bands and rows
        come from the target recall at the threshold (see :func:`bands_and_rows`).
@@ -163,9 +162,30 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     without links; class_id is null if no row of the class has an id; repeated rows are
     copies of each other; an empty table gives none.
     """
+    source = written(only(df, doc_id=id_col, text=text_col).withColumn("place", F.monotonically_increasing_id()), "docs")
+    rows = groups(source, n, threshold, recall)
+    rows = written(source.select("place", "doc_id").join(rows, "place", "left").withColumn("root", F.coalesce("root", "place")), "rows")
+    classes = written(rows.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_class")), "classes")
+    return rows.join(classes, "root").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_class")
+
+
+def one_of_each(df: DataFrame, text_col: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """The first row of each group of :func:`near_duplicates`, with all columns of ``df`` as they are.
+
+    Only the places of rows that go are joined to the rows: broadcast up to a counted
+    bound, shuffled beyond it.
+    """
+    columns = [f"c{k}" for k in range(len(df.columns))]
+    source = written(df.toDF(*columns).withColumn("place", F.monotonically_increasing_id()), "docs")
+    rows = groups(source.select("place", F.col(columns[df.columns.index(text_col)]).alias("text")), n, threshold, recall)
+    gone = written(rows.filter("place <> root").select("place"), "gone")  # a root is the least place of its class
+    return source.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "place", "left_anti").select(*columns).toDF(*df.columns)
+
+
+def groups(source: DataFrame, n: int, threshold: float, recall: float) -> DataFrame:
+    """``place, root, n_links`` of rows with a text: ``source`` has ``place`` (a written row number) and ``text``."""
+    source = source.select("place", F.col("text").cast("binary").alias("text"))
     bands, rows_per = bands_and_rows(threshold, recall)
-    source = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept")] if keep else []))
-    source = written(source.withColumn("place", F.monotonically_increasing_id()), "docs")
     minhash = MinHash(bands, rows_per)
 
     def sign(batch: pa.RecordBatch) -> dict[str, list]:
@@ -205,8 +225,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.when(small, F.lit(0)).otherwise(F.greatest("chunk", "other")).alias("g2"),
     )
     dealt = written(dealt, "dealt")
-    # Few rows have a partner at all; up to a counted bound they go to the texts, beyond it both are shuffled.
-    texts = source.select("place", "text").join(F.broadcast(dealt) if dealt.count() <= BROADCAST_ROWS else dealt, "place")
+    # Few rows have a partner at all: their numbers go to the texts, up to a counted bound, so that only
+    # candidates' texts are shuffled.
+    texts = source.select("place", "text")
+    if members.count() <= BROADCAST_IDS:
+        texts = texts.join(F.broadcast(members.select("place")), "place", "left_semi")
+    texts = texts.join(F.broadcast(dealt) if dealt.count() <= BROADCAST_ROWS else dealt, "place")
 
     def verify(group: pa.Table) -> pa.Table:
         place, comp, m, chunk = (group.column(c).to_numpy() for c in ("place", "comp", "m", "chunk"))
@@ -230,8 +254,4 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     roots = components(checked.filter("place <> root").select(F.col("place").alias("a"), F.col("root").alias("b")))
     per_set = sets.join(links.withColumnRenamed("place", "rep"), "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     per_set = written(per_set.select("h1", "h2", F.coalesce("root", "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links")), "per-set")
-    rows = signed.select("place", "h1", "h2").join(per_set, ["h1", "h2"]).select("place", "root", "n_links")
-    extra = ["kept"] if keep else []
-    rows = written(source.select("place", "doc_id", *extra).join(rows, "place", "left").withColumn("root", F.coalesce("root", "place")), "rows")
-    classes = written(rows.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_class"), F.min("place").alias("first")), "classes")
-    return rows.join(classes, "root").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_class", *extra, *([(F.col("place") == F.col("first")).alias("first")] if keep else []))
+    return written(signed.select("place", "h1", "h2").join(per_set, ["h1", "h2"]).select("place", "root", "n_links"), "grouped")
