@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import fnmatch
+import os
 import re
 from pathlib import Path
 
@@ -34,12 +34,21 @@ def ignore_regex(pattern: str) -> str:
     """An ignore pattern as a regular expression: anchored if it holds an inner slash, of folders only if it ends in one."""
     folder, body = pattern.endswith("/"), pattern.strip("/")
     anchored = "/" in pattern.rstrip("/")
-    parts = []
-    for piece in body.split("/"):
-        parts.append(".*" if piece == "**" else fnmatch.translate(piece)[4:-3].replace(".*", "[^/]*") if "*" in piece or "?" in piece or "[" in piece else re.escape(piece))
+    marks = {"*": "[^/]*", "?": "[^/]"}
+    parts = [".*" if piece == "**" else "".join(marks.get(c, c if c in "[]-" else re.escape(c)) for c in piece) for piece in body.split("/")]
     return ("^" if anchored else "(^|/)") + "/".join(parts) + ("/" if folder else "(/|$)")
 
 
+def hidden_files(root: str) -> list[str]:
+    """Files that Spark's listing leaves out: those whose name, or a folder of theirs, starts with a dot or an underscore."""
+    found = []
+    for top, folders, names in os.walk(root):
+        folders[:] = [f for f in folders if f not in paths.IGNORED]
+        inside = any(p[:1] in "._" for p in os.path.relpath(top, root).split(os.sep) if p != ".")
+        found += [os.path.join(top, n) for n in names if (inside or n[:1] in "._") and n.rpartition(".")[2] in paths.LANGUAGE_OF]
+    return sorted(found)
+
+
 def not_ignored(relative: Column, patterns: list[tuple[str, bool]]) -> Column:
     """Whether the last pattern that matches, if any, is a negation."""
     keep = F.lit(True)
@@ -62,9 +71,12 @@ def scan(spark: SparkSession, root: str, config: Config | None = None) -> DataFr
     for r in roots:
         if not Path(r).is_dir():
             continue
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*").load(str(Path(r).resolve()))
+        folder = str(Path(r).resolve())
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+        if hidden := hidden_files(folder):
+            files = files.unionByName(spark.read.format("binaryFile").load(hidden))
         full = F.regexp_replace("path", "^[a-z]+:/+", "/")
-        base = str(Path(r).resolve()).rstrip("/") + "/"
+        base = folder.rstrip("/") + "/"
         files = files.filter(F.col("length") <= config.max_file_size).select(full.alias("path"), F.col("length").alias("size"), "content")
         relative = F.substring("path", len(base) + 1, 1 << 30)
         frames.append(files.filter(~paths.ignored(F.col("path")) & not_ignored(relative, ignore_patterns(r))))
