@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 import regex
 
-from weftgraph.llm import decontaminate, lang_id, packing, pii, pretokens, token_counts
+from weftgraph.llm import common, decontaminate, lang_id, packing, pii, pretokens, token_counts
 from weftgraph.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -67,11 +67,11 @@ def test_token_counts_with_a_small_cache(spark, odd, monkeypatch):
     path = public_tokenizers.path("byte_bpe_50k.json")
     monkeypatch.setattr(pretokens, "CACHE_ENTRIES", 2)
     monkeypatch.setattr(token_counts, "SLICE_CHARS", 50)
-    pretokens._loaded.clear()
+    common._state.clear()
     texts = [t or "" for _, t, *_ in ODD] * 2
     tok = pretokens.Pieces(path).tokenizer
     assert token_counts.count_texts(texts, path) == [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
-    pretokens._loaded.clear()
+    common._state.clear()
 
 
 def check_packing(df, got):

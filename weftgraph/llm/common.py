@@ -74,16 +74,39 @@ def checked_broadcast(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(small) if len(small.limit(limit + 1).select(F.lit(1)).take(limit + 1)) <= limit else small
 
 
+#: Bytes of a record batch that a function sees at once, and rows; bound a worker's Python objects.
+SLICE_BYTES = 4 << 20
+SLICE_ROWS = 1024
+
+_state: dict = {}
+
+
+def worker_state(key, make: Callable):
+    """What a worker keeps between batches (a model, a cache): only that of the operator that runs in it now."""
+    if key not in _state:
+        _state.clear()
+        _state[key] = make()
+    return _state[key]
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of bounded size (or of one longer row)."""
+    for batch in batches:
+        n = batch.num_rows
+        step = max(1, min(SLICE_ROWS, n * SLICE_BYTES // max(1, batch.nbytes)))
+        for at in range(0, n, step):
+            yield batch.slice(at, step)
+
+
 def map_rows(df: DataFrame, fold: Callable[[pa.RecordBatch], dict[str, list]], schema: T.StructType | str) -> DataFrame:
-    """``mapInArrow`` of a function that turns one record batch into columns. Batches are bounded in rows and bytes by Spark."""
+    """``mapInArrow`` of a function that turns one record batch into columns; batches are cut to a bounded size first."""
     wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     arrow = arrow_schema(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = fold(batch)
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+        for batch in slices(batches):
+            out = fold(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, wanted)
 
@@ -92,7 +115,7 @@ def filter_rows(df: DataFrame, text_col: str, keep: Callable[[list], list[bool]]
     """The rows of ``df`` with all their columns for whose text ``keep`` says so; one narrow pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(keep(batch.column(batch.schema.get_field_index(text_col)).to_pylist()), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

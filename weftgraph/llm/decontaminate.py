@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import filter_rows, map_rows, only, written
+from .common import filter_rows, map_rows, only, worker_state, written
 
 WINDOW = 10
 #: Words of a block, of the shift and suffix-hash tables.
@@ -113,14 +113,8 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_built: dict[str, list[WuManber]] = {}
-
-
 def _searches(key: str, items, window: int) -> list[WuManber]:
-    if key not in _built:
-        _built.clear()
-        _built[key] = tables(items.value, window)
-    return _built[key]
+    return worker_state(("searches", key), lambda: tables(items.value, window))
 
 
 def blocks_of(benchmark: DataFrame, limit: int = PATTERN_BYTES) -> Iterator[list[tuple[str, bytes]]]:

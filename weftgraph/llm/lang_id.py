@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, checked_broadcast, filter_rows, map_rows, only
+from .common import BROADCAST_ROWS, checked_broadcast, filter_rows, map_rows, only, worker_state
 
 #: Labelled rows of a language that the trees are grown from: those with the smallest hashes of their ids.
 TRAIN_DOCS = 1000
@@ -72,7 +72,7 @@ class Trees:
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Exact code length in bits of each text under each language."""
         out = np.zeros((len(texts), len(self.langs)))
-        step, a = 1 << 20, self.size
+        step, a = 1 << 18, self.size
         ends = np.cumsum([len(t) + ORDER for t in texts])
         run = self.of_byte[np.frombuffer(b"".join([x for t in texts for x in (_PAD, t)]) or _PAD, np.uint8)]
         for at in range(ORDER, len(run), step):
@@ -144,9 +144,6 @@ def fit(df: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], dict[st
     return langs, grams
 
 
-_compiled: dict[str, Trees] = {}
-
-
 def predictor(rows: DataFrame, train_docs: int = TRAIN_DOCS) -> Callable[[list], tuple[list[str], list[float]]]:
     """A function for executors from texts to their languages and scores, learned from ``rows`` (``doc_id, text, lang``)."""
     langs, grams = fit(rows, train_docs)
@@ -156,13 +153,10 @@ def predictor(rows: DataFrame, train_docs: int = TRAIN_DOCS) -> Callable[[list],
         pred, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
         if not langs:
             return pred, score
-        if key not in _compiled:
-            _compiled.clear()
-            _compiled[key] = Trees(*model.value)
-        trees = _compiled[key]
+        trees = worker_state(("trees", key), lambda: Trees(*model.value))
         judged = [k for k, t in enumerate(texts) if t and any(map(str.isalpha, t))]
-        for at in range(0, len(judged), 256):
-            some = judged[at : at + 256]
+        for at in range(0, len(judged), 128):
+            some = judged[at : at + 128]
             bits = trees.bits([texts[k].encode() for k in some])
             best = bits.argmin(1)
             share = 1 / np.exp2(np.clip(bits.min(1, keepdims=True) - bits, -1074, 0)).sum(1)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import slices, written
 from .decontaminate import words
 
 LEAST = 0.6
@@ -113,7 +113,7 @@ def word_counts(texts: DataFrame, vocabulary: frozenset[bytes]) -> tuple[int, di
 
     def count(batches):
         n, df = 0, Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 n += 1
                 df.update(vocabulary.intersection(words(text)))
@@ -149,7 +149,7 @@ def licenses(df: DataFrame, path_col: str = "path", text_col: str = "text", keep
 
     def scan(batches):
         scorer = Scorer(*model)
-        for batch in batches:
+        for batch in slices(batches):
             found = [scan_text(t, scorer, least) for t in batch.column(last).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.float64())], names=out.names)
 

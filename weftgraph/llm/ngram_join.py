@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, BROADCAST_ROWS, map_rows, only, written
+from .common import BROADCAST_IDS, BROADCAST_ROWS, map_rows, only, worker_state, written
 from .components import components
 from .decontaminate import words
 
@@ -22,7 +22,7 @@ MAX_HASHES = 240
 #: Documents, and distinct n-grams, of a verification chunk; bounds a task's memory.
 CHUNK_DOCS = 256
 CHUNK_GRAMS = 400_000
-_WORD_CACHE = 400_000
+_WORD_CACHE = 250_000
 
 
 def bands_and_rows(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MAX_HASHES) -> tuple[int, int]:
@@ -48,7 +48,6 @@ class _WordHash(dict):
         return h
 
 
-_hash = _WordHash()
 _ODD = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) & ((1 << 64) - 1) | 1 for k in range(64)], np.uint64)
 
 
@@ -67,7 +66,8 @@ def grams(text: bytes, n: int = N) -> np.ndarray:
     run = words(text)
     if not run:
         return np.array([xxhash.xxh3_64_intdigest(text, seed=1)], np.uint64)
-    h = np.fromiter(map(_hash.__getitem__, run), np.uint64, len(run))
+    hash_of = worker_state("word hashes", _WordHash)
+    h = np.fromiter(map(hash_of.__getitem__, run), np.uint64, len(run))
     m = min(n, len(h))
     total = np.zeros(len(h) - m + 1, np.uint64)
     for k in range(m):

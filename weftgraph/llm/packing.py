@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, only, written
+from .common import map_rows, only, slices, written
 from .pretokens import pieces_of
 
 LENGTH = 4096
@@ -226,18 +226,16 @@ def cut_pieces(df: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id:
 
     def run(batches):
         part, ranks = TaskContext.get().partitionId(), np.zeros(length + 1, np.int64)
-        for batch in batches:
-            texts, ids = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            for at in range(0, len(texts), 512):
-                out = {name: [] for name, _ in fields}
-                for doc, raw in zip(ids[at : at + 512], encode([t or "" for t in texts[at : at + 512]], tokenizer_path, end_id)):
-                    total = len(raw) // 4
-                    for piece, start in enumerate(range(0, total, length)):
-                        size = min(length, total - start)
-                        for name, value in zip(out, (doc, piece, start, size, zlib.crc32(memoryview(raw)[4 * start : 4 * (start + size)]), part, int(ranks[size]))):
-                            out[name].append(value)
-                        ranks[size] += 1
-                yield pa.RecordBatch.from_arrays([pa.array(out[n], pa.int32() if kind == "int" else pa.int64()) for n, kind in fields], names=[n for n, _ in fields])
+        for batch in slices(batches):
+            out = {name: [] for name, _ in fields}
+            for doc, raw in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()], tokenizer_path, end_id)):
+                total = len(raw) // 4
+                for piece, start in enumerate(range(0, total, length)):
+                    size = min(length, total - start)
+                    for name, value in zip(out, (doc, piece, start, size, zlib.crc32(memoryview(raw)[4 * start : 4 * (start + size)]), part, int(ranks[size]))):
+                        out[name].append(value)
+                    ranks[size] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(out[n], pa.int32() if kind == "int" else pa.int64()) for n, kind in fields], names=[n for n, _ in fields])
 
     return df.mapInArrow(run, PIECES)
 

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_rows, only
+from .common import map_rows, only, slices
 
 KINDS = ("email", "ip", "card", "phone")
 #: Least marginal probability of a token's label for a span that the base patterns do not have.
@@ -364,7 +364,7 @@ def mask(df: DataFrame, text_col: str = "text", chars_col: str | None = None) ->
     """``df`` with personal data in its text masked (and the count of characters in ``chars_col`` renewed); all rows and columns stay."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             new: list[str | None] = []
             for at in range(0, len(texts), _SLICE):

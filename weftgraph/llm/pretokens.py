@@ -16,6 +16,8 @@ from collections import ChainMap
 
 import regex
 
+from .common import worker_state
+
 # The pre-token patterns of the two tokenizer files, and ranges of characters
 # that every Unicode version in use classifies alike and whose lower case is among them.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -121,11 +123,6 @@ class Pieces:
         return ChainMap(long, found) if long else found
 
 
-_loaded: dict[tuple[str, str], Pieces] = {}
-
-
 def pieces_of(path: str, use: str) -> Pieces:
     """The tokenizer of ``path`` for one ``use`` (what its cache holds), loaded once in a worker process."""
-    if (path, use) not in _loaded:
-        _loaded[path, use] = Pieces(path)
-    return _loaded[path, use]
+    return worker_state(("pieces", path, use), lambda: Pieces(path))
