@@ -42,6 +42,8 @@ def parser() -> argparse.ArgumentParser:
     command("path", ("source",), ("target",))
     command("impact", ("name",), depth=5)
     command("files", max_depth=3)
+    command("serve", port=7878)
+    command("mcp", tools="")
     command("diff", ("base", {"nargs": "?", "default": "HEAD"}), depth=2, tests=False)
     return p
 
@@ -78,7 +80,15 @@ def run(index: Index, a: argparse.Namespace):
         from .streaming.service import watch
 
         index.build()
-        return watch(index)
+        return watch(index).awaitTermination() or ""
+    if c == "serve":
+        from .surfaces import serve_pages
+
+        serve_pages(index, a.port).serve_forever()
+    if c == "mcp":
+        from .surfaces import serve_tools
+
+        return serve_tools(index, a.tools.split(",")) or ""
     if c == "status":
         return index.status(a.health)
     if c == "query":
