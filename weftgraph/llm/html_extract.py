@@ -22,7 +22,7 @@ _ASIDE_WORDS = frozenset("ad ads advert adverts advertisement banner breadcrumb
 _MAIN_WORDS = frozenset("article body content entry main post story text".split())
 _ASIDE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 _TAG = re.compile(r"([a-zA-Z][a-zA-Z0-9:-]*)")
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|data-main)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|data-main)(?![\w-])(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.IGNORECASE)
 _END_OF_TAG = re.compile(r"""[^>"']*+(?:"[^"]*"[^>"']*+|'[^']*'[^>"']*+)*+>""")
 _PART = re.compile(r"[^a-z0-9]+")
 
