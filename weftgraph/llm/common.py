@@ -89,6 +89,13 @@ def worker_state(key, make: Callable):
     return _state[key]
 
 
+def task_over() -> None:
+    """Empties caches at the end of a task, since idle workers stay alive beside the busy ones."""
+    for state in _state.values():
+        if hasattr(state, "trim"):
+            state.trim()
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of bounded size (or of one longer row)."""
     for batch in batches:
@@ -96,6 +103,7 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = max(1, min(SLICE_ROWS, n * SLICE_BYTES // max(1, batch.nbytes)))
         for at in range(0, n, step):
             yield batch.slice(at, step)
+    task_over()
 
 
 def map_rows(df: DataFrame, fold: Callable[[pa.RecordBatch], dict[str, list]], schema: T.StructType | str) -> DataFrame:

@@ -47,6 +47,9 @@ class _WordHash(dict):
         self[word] = h
         return h
 
+    def trim(self) -> None:
+        self.clear()
+
 
 _ODD = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) & ((1 << 64) - 1) | 1 for k in range(64)], np.uint64)
 

@@ -56,6 +56,18 @@ def _splitter(kind: str) -> re.Pattern:
     return re.compile(f"{short}| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
 
 
+# Normaliser and pre-tokenizer of the two kinds of files that have a fast splitter.
+KINDS = {
+    json.dumps([None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}]): "byte",
+    json.dumps(
+        [
+            {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+            {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": WORD_END}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+        ]
+    ): "word",
+}
+
+
 class Pieces:
     """One tokenizer file in one worker process."""
 
@@ -65,18 +77,13 @@ class Pieces:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            told = json.load(f)
-        self.special = {x["content"]: x["id"] for x in told["added_tokens"]}
-        self.plain_special = not any(x["normalized"] or x["lstrip"] or x["rstrip"] or x["single_word"] for x in told["added_tokens"])
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.special = {x.content: i for i, x in added.items()}
+        self.plain_special = not any(x.normalized or x.lstrip or x.rstrip or x.single_word for x in added.values())
         self.split_special = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) or r"(?!)")
-        pre, norm = told.get("pre_tokenizer") or {}, told.get("normalizer")
-        steps = [s.get("type") for s in pre.get("pretokenizers", [])]
-        self.kind = "other"
-        if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not norm:
-            self.kind, self.pattern = "byte", _splitter("byte")
-        elif steps == ["Split", "ByteLevel"] and pre["pretokenizers"][0]["pattern"].get("Regex") == WORD_END and [n["type"] for n in (norm or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
-            self.kind, self.pattern = "word", _splitter("word")
+        told = [part and json.loads(part.__getstate__()) for part in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)]
+        self.kind = KINDS.get(json.dumps(told), "other")
+        self.pattern = _splitter(self.kind) if self.kind != "other" else None
         # A pre-token of safe characters has been normalised already, so the model and its byte alphabet do for it.
         self.bare = Tokenizer(self.tokenizer.model)
         self.bare.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
@@ -122,6 +129,9 @@ class Pieces:
                 (found if len(p) <= CACHE_CHARS else long)[p] = value(e)
         return ChainMap(long, found) if long else found
 
+    def trim(self) -> None:
+        self.found, self.older = {}, {}
+
 
 def pieces_of(path: str, use: str) -> Pieces:
     """The tokenizer of ``path`` for one ``use`` (what its cache holds), loaded once in a worker process."""
