@@ -40,7 +40,7 @@ def least_capacity(sizes, shards):
 @pytest.mark.parametrize("shards", [1, 3, 8])
 def test_shards_are_minimax_over_hash_order(spark, shards):
     docs = table(spark, SF, "documents")
-    keyed = rows(docs.groupBy(F.xxhash64("text").alias("k")).agg(F.sum(F.octet_length("text") + 1).alias("s")).orderBy("k").select("s"))
+    keyed = rows(docs.groupBy(F.substring(F.md5("text"), 1, 15).alias("k")).agg(F.sum(F.octet_length("text") + 1).alias("s")).orderBy("k").select("s"))
     got = rows(sharding.shard(docs, shards))
     loads, slots, of = {}, {}, {}
     text = dict(rows(docs.select("doc_id", "text")))

@@ -62,6 +62,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE_SQL = {
+    # Binary search (find), greedy cuts and a table-driven CRC-32, each as a recursion or a fold.
+    "op2_sharding": """
+WITH RECURSIVE tab AS (SELECT list(c ORDER BY i) AS crc FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+s AS (SELECT row_number() OVER () AS place, doc_id, coalesce(text, '') AS t FROM documents),
+d AS (SELECT place, doc_id, strlen(t) + 1 AS size, (CAST('0x' || substr(md5(t), 1, 15) AS BIGINT) - 576460752303423488) * 16 AS key,
+      xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda h: CAST('0x' || h AS BIGINT))), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32 FROM s, tab),
+g AS (SELECT key, sum(size) AS b FROM d GROUP BY key),
+p AS (SELECT key, CAST(sum(b) OVER (ORDER BY key) AS BIGINT) AS e, CAST(b AS BIGINT) AS b FROM g),
+tot AS (SELECT max(e) AS total, max(b) AS most FROM p),
+find AS (
+  SELECT greatest(CAST(ceil(total / 8.0) AS BIGINT), most) AS lo, total AS hi, 0 AS k, CAST(0 AS BIGINT) AS pos FROM tot
+  UNION ALL
+  SELECT CASE WHEN k < 7 AND nat < total OR nat = total THEN lo ELSE mid + 1 END, CASE WHEN nat = total THEN mid ELSE hi END,
+         CASE WHEN nat = total OR k = 7 THEN 0 ELSE k + 1 END, CASE WHEN nat = total OR k = 7 THEN 0 ELSE nat END
+  FROM (SELECT f.lo, f.hi, f.k, (f.lo + f.hi) // 2 AS mid, tot.total, max(p.e) AS nat FROM find f, tot, p WHERE f.lo < f.hi AND p.e <= f.pos + (f.lo + f.hi) // 2 GROUP BY ALL)),
+best AS (SELECT lo AS c FROM find WHERE lo = hi LIMIT 1),
+cut AS (SELECT CAST(0 AS BIGINT) AS pos, 0 AS k UNION ALL SELECT max(p.e), cut.k + 1 FROM cut, best, p WHERE cut.k < 7 AND p.e <= cut.pos + best.c GROUP BY cut.k),
+sh AS (SELECT p.key, CAST(count(cut.pos) AS INT) AS shard FROM p LEFT JOIN cut ON cut.k > 0 AND cut.pos < p.e GROUP BY p.key)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY place) - 1 AS slot, CAST(NULL AS INT) AS grown_shard FROM d JOIN sh USING (key)
+""",
     "op9_decontamination": f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce({_WORDS}, []) AS w FROM documents),
 i AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),

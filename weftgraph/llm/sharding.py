@@ -80,7 +80,7 @@ def shard(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col:
     Returns ``doc_id, size, text_crc32, law, shard, slot, grown_shard`` (law ``bytes``, so
     grown_shard is null). Size is the text's UTF-8 bytes plus 1.
 
-    Groups are equal texts, ordered by a 64-bit hash of the text. The smallest capacity for
+    Groups are equal texts, ordered by the leading 60 bits of the text's MD5. The smallest capacity for
     which a greedy walk along the groups needs no more than ``shards`` shards is found by
     binary search, and the groups are cut there. The driver holds sums for 2^14 ranges of
     the hash and opens single ranges (about 1/16384 of the groups each) where a greedy
@@ -98,7 +98,7 @@ def shard(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col:
         "doc_id",
         (F.octet_length(text) + 1).cast("bigint").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(text).alias("key"),
+        ((F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("bigint") - (1 << 59)) * 16).alias("key"),
         F.monotonically_increasing_id().alias("place"),
     )
     rows = written(rows, "shard-rows")
