@@ -33,13 +33,13 @@ def compatible(edge_kind: Column, node_kind: Column) -> Column:
     return ok
 
 
-def candidates(refs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of references and nodes of that name or qualified name, of a kind that fits.
+def candidates(refs: DataFrame, nodes: DataFrame, *extra: str) -> DataFrame:
+    """Pairs of references and nodes of that name or qualified name, of a kind that fits, with ``extra`` columns of the nodes.
 
     ``name = x OR qualified_name = x`` as two equi-joins and a distinct union, since a
     disjunction would be planned as a nested loop.
     """
-    node = nodes.select(F.col("id").alias("candidate"), F.col("kind").alias("node_kind"), "name", "qualified_name", F.col("file_path").alias("candidate_file"))
+    node = nodes.select(F.col("id").alias("candidate"), F.col("kind").alias("node_kind"), "name", "qualified_name", F.col("file_path").alias("candidate_file"), *extra)
     by_name = refs.join(node, refs["target_name"] == node["name"])
     by_qualified = refs.join(node, refs["target_name"] == node["qualified_name"])
     both = by_name.unionByName(by_qualified.filter("name <> qualified_name OR name IS NULL"))
@@ -63,13 +63,14 @@ def resolve(refs: DataFrame, nodes: DataFrame, edges: DataFrame, all_refs: DataF
     name, all. An edge keeps the confidence of its last reference.
     """
     told = all_refs if all_refs is not None else refs
+    # What depends on one side alone is joined to that side, before references meet their candidates.
     containers = container_of(edges, nodes).join(nodes.select(F.col("id").alias("container"), F.col("name").alias("container_name")), "container")
-    found = candidates(refs, nodes)
-    found = found.join(containers.select(F.col("target").alias("candidate"), F.col("container").alias("c_type"), F.col("container_name").alias("c_name")), "candidate", "left")
-    found = found.join(containers.select(F.col("target").alias("source_node_id"), F.col("container").alias("s_type"), F.col("container_name").alias("s_name")), "source_node_id", "left")
-    found = found.join(base_type_names(told).select(F.col("source").alias("s_type"), "bases"), "s_type", "left")
+    targets = nodes.join(containers.select(F.col("target").alias("id"), F.col("container").alias("c_type"), F.col("container_name").alias("c_name")), "id", "left").withColumn("stem", ascii_lower(paths.stem(F.col("file_path"))))
+    sources = refs.join(containers.select(F.col("target").alias("source_node_id"), F.col("container").alias("s_type"), F.col("container_name").alias("s_name")), "source_node_id", "left")
+    sources = sources.join(base_type_names(told).select(F.col("source").alias("s_type"), "bases"), "s_type", "left")
+    found = candidates(sources, targets, "c_type", "c_name", "stem")
     imported = import_segments(told).select("file_path", F.col("segment").alias("stem"), F.lit(True).alias("named"))
-    found = found.withColumn("stem", ascii_lower(paths.stem(F.col("candidate_file")))).join(imported, ["file_path", "stem"], "left")
+    found = found.join(imported, ["file_path", "stem"], "left")
 
     hint = F.regexp_replace("receiver_hint", "^!", "")
     want = F.when(hint == "Self", type_token(F.col("s_name"))).otherwise(hint)
@@ -81,13 +82,12 @@ def resolve(refs: DataFrame, nodes: DataFrame, edges: DataFrame, all_refs: DataF
         "same_file": F.col("candidate_file") == F.col("file_path"),
         "named": F.col("named"),
     }
-    for name, flag in flags.items():
-        found = found.withColumn(f"is_{name}", F.coalesce(flag, F.lit(False)))
+    found = found.select("ref_id", "source_node_id", "candidate", "kind", "receiver_hint", want.alias("want"), *[F.coalesce(flag, F.lit(False)).alias(f"is_{name}") for name, flag in flags.items()])
     of_ref = Window.partitionBy("ref_id")
     found = found.withColumn("n_all", F.count(F.lit(1)).over(of_ref))
     for name in flags:
         found = found.withColumn(f"n_{name}", F.count_if(F.col(f"is_{name}")).over(of_ref))
-    dropped = F.startswith("receiver_hint", F.lit("!")) & want.isNotNull()
+    dropped = F.startswith("receiver_hint", F.lit("!")) & F.col("want").isNotNull()
     tier = (
         F.when(F.col("n_typed") > 0, "typed")
         .when(dropped, None)
