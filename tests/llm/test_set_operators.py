@@ -214,6 +214,13 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8, **{k: 20 for k in range(20, 61)}}
 
 
+@pytest.mark.parametrize("order", ["descending", "shuffled"])
+def test_components_of_long_paths(spark, order):
+    names = [0, *range(999, 0, -1)] if order == "descending" else np.random.default_rng(5).permutation(1000).tolist()
+    got = dict(rows(components.components(spark.createDataFrame(list(zip(names, names[1:])), "a bigint, b bigint"))))
+    assert got == dict.fromkeys(range(1000), 0)
+
+
 # licences
 
 
