@@ -298,6 +298,26 @@ def test_messages_agree_with_enumeration_on_a_small_graph():
     assert np.allclose(p, exact / exact.sum(1, keepdims=True), atol=1e-4)
 
 
+@pytest.mark.parametrize("form", ["2695553296", "555-3296"])
+@pytest.mark.parametrize("between", [" ", " then some words and "])
+def test_evidence_reaches_every_repeat(form, between):
+    repeats, evident = between.join([form] * 50), "call +1 (269) 555-3296 now"
+    for text in (f"{evident}. {repeats}", f"{repeats}. So {evident}", f"{repeats}. So {evident}. {repeats}"):
+        _, every = pii.find([text])[0]
+        masked = pii.masked_text(text, every)
+        assert "3296" not in masked and {kind for _, kind, _ in every} == {3}
+    if between != " ":  # a run of such numbers side by side counts as a phone number by itself
+        assert pii.find([repeats])[0] == ([], [])
+
+
+def test_evidence_passes_a_long_chain():
+    graph = pii.Graph()
+    graph.add(0, " ".join(["+1 (269) 555-3296", *["7777777"] * 300]), [(0, 3, 17)])
+    w, pair = pii.trained()
+    w, same = np.zeros_like(w), np.stack([np.eye(5) * 12] * 3)
+    assert pii.marginals(graph, w, same)[:, 4].min() > 0.9
+
+
 def test_masking_keeps_rows_and_columns(spark, odd):
     docs = spark.createDataFrame([(1, "mail a@b.org and a@b.org now", "x", 28), (2, None, None, None), (3, "clean text", "y", 10)], "doc_id bigint, text string, note string, n_chars bigint")
     got = sorted(rows(pii.mask(docs, chars_col="n_chars")))

@@ -15,7 +15,10 @@ from .common import map_rows, only, slices
 KINDS = ("email", "ip", "card", "phone")
 #: Least marginal probability of a token's label for a span that the base patterns do not have.
 LEAST = 0.8
-ROUNDS = 12
+#: Change of a message (in log-potential) below which a text's messages count as settled.
+SETTLED = 1e-4
+#: Undamped sweeps; messages that still swing after them are damped more with each further sweep.
+FREE_SWEEPS = 20
 #: Log-potential of the label that a base span gives its tokens.
 GIVEN = 30.0
 
@@ -111,8 +114,17 @@ _N_FEATURES = 1 + 4 + len(_SHAPES) + 4 + 2 + 4
 _LABELS = 1 + len(KINDS)
 
 
+def _in_base(features: list[int]) -> bool:
+    return any(0 < f < _LABELS for f in features[:2])
+
+
 class Graph:
-    """Tokens of many texts as one graph: chain edges between neighbours, skip edges between repeated or similar ones."""
+    """Tokens of many texts as one graph: chain edges between neighbours, skip edges between repeated or similar ones.
+
+    A token outside base spans is linked to the repeat before it and also to the first repeat
+    within a base span, wherever that stands, so that evidence need not pass other repeats.
+    Edges go from the earlier token to the later one.
+    """
 
     def __init__(self):
         self.features: list[list[int]] = []
@@ -122,6 +134,9 @@ class Graph:
     def add(self, k: int, text: str, base: list[tuple[int, int, int]]) -> None:
         equal: dict[str, int] = {}
         similar: dict[str, int] = {}
+        given: tuple[dict[str, int], dict[str, int]] = {}, {}  # first repeat in a base span, by key and by near
+        hidden: list[tuple[int, str, str]] = []
+        skips: set[tuple[int, int]] = set()
         last_end, b = -1, 0
         for start, end in tokens(text):
             node, core = len(self.at), text[start:end]
@@ -150,11 +165,23 @@ class Graph:
                 equal_before = equal.get(key, -1)
                 if equal_before >= 0:
                     self.edges.append((equal_before, node, 1))
+                    skips.add((equal_before, node))
                 equal[key] = node
                 near = key.split("@")[0] if "@" in core else key[-7:]
                 if near in similar and similar[near] != equal_before:
                     self.edges.append((similar[near], node, 2))
+                    skips.add((similar[near], node))
                 similar[near] = node
+                if _in_base(on):
+                    given[0].setdefault(key, node)
+                    given[1].setdefault(near, node)
+                else:
+                    hidden.append((node, key, near))
+        for node, key, near in hidden:
+            kind = 1 if key in given[0] else 2
+            first = given[0].get(key, given[1].get(near, node))
+            if first != node and (edge := (min(first, node), max(first, node))) not in skips:
+                self.edges.append((*edge, kind))
 
     def unary(self, weight: np.ndarray) -> np.ndarray:
         rows = np.repeat(np.arange(len(self.features)), [len(f) for f in self.features])
@@ -166,24 +193,47 @@ class Graph:
         return out
 
 
-def marginals(graph: Graph, weight: np.ndarray, pair: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Approximate label marginals by damped sum-product message passing on the loopy graph."""
-    belief = unary = graph.unary(weight)
+def marginals(graph: Graph, weight: np.ndarray, pair: np.ndarray, rounds: int | None = None) -> np.ndarray:
+    """Approximate label marginals by sum-product message passing on the loopy graph, until the messages settle.
+
+    A sweep goes forward and backward over the tokens in their order (those that stand
+    equally deep in their texts at once), so it carries evidence through a whole text. A
+    text is done when no message of a sweep changes by ``SETTLED``. Tokens of base spans
+    are observed, as in training: what they send does not depend on what they are sent.
+    ``rounds`` is the most sweeps; None for as many as it takes.
+    """
+    unary = graph.unary(weight)
+    belief = unary.copy()
     if graph.edges:
         e = np.array(graph.edges)
+        n = len(e)
         source, target = np.concatenate([e[:, 0], e[:, 1]]), np.concatenate([e[:, 1], e[:, 0]])
         table = np.concatenate([pair[e[:, 2]], pair[e[:, 2]].transpose(0, 2, 1)])
-        back = np.concatenate([np.arange(len(e)) + len(e), np.arange(len(e))])
-        sent = np.zeros((2 * len(e), _LABELS))
-        for _ in range(rounds):
-            out = belief[source] - sent[back]
-            x = out[:, :, None] + table
-            top = x.max(1, keepdims=True)
-            new = np.log(np.exp(x - top).sum(1)) + top[:, 0]
-            new -= new.max(1, keepdims=True)
-            sent = 0.5 * sent + 0.5 * new
-            belief = unary.copy()
-            np.add.at(belief, target, sent)
+        back = np.concatenate([np.arange(n) + n, np.arange(n)])
+        text = np.array([k for k, _, _ in graph.at])[source]
+        held = np.array([_in_base(f) for f in graph.features])[source]
+        sent = np.zeros((2 * n, _LABELS))
+        depth = [0] * len(graph.at)
+        for a, b, _ in sorted(graph.edges):
+            depth[b] = max(depth[b], depth[a] + 1)
+        depth_of = np.array(depth)[source]
+        way = np.concatenate([depth_of[:n], 2 * len(depth) - depth_of[n:]])  # forward by depth, then backward
+        live, sweep = np.arange(2 * n), 0
+        while len(live) and (rounds is None or sweep < rounds):
+            step = 1.0 if sweep < FREE_SWEEPS else 0.5 * 0.97 ** (sweep - FREE_SWEEPS)
+            change = np.zeros(int(text.max()) + 1)
+            live = live[np.argsort(way[live], kind="stable")]
+            for own in np.split(live, np.flatnonzero(np.diff(way[live])) + 1):
+                out = np.where(held[own, None], unary[source[own]], belief[source[own]] - sent[back[own]])
+                x = out[:, :, None] + table[own]
+                top = x.max(1, keepdims=True)
+                new = np.log(np.exp(x - top).sum(1)) + top[:, 0]
+                new -= new.max(1, keepdims=True)
+                more = step * (new - sent[own])
+                sent[own] += more
+                np.add.at(belief, target[own], more)
+                np.maximum.at(change, text[own], np.abs(more).max(1))
+            live, sweep = live[change[text[live]] >= SETTLED], sweep + 1
     p = np.exp(belief - belief.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)
 
@@ -326,8 +376,9 @@ def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Base matches are what the patterns give. Tokens that hold a digit or an @ are the nodes
     of a skip-chain conditional random field: neighbours are chained, and occurrences of an
-    equal or similar token anywhere in the document are linked one to the next (so n
-    repeats have n - 1 links); sum-product messages on that graph carry a label from where
+    equal or similar token anywhere in the document are linked one to the next, and those
+    outside base spans also to the first one within (so n repeats have at most 2n links);
+    sum-product messages on that graph, passed until they settle, carry a label from where
     it is evident to where it is not. Runs of tokens outside base spans whose marginal
     reaches ``least`` are added. The field is trained on a small table made by a rule.
 
