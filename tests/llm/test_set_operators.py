@@ -244,6 +244,36 @@ def test_licences_and_inheritance(spark):
     assert license_scan.licenses(df.limit(0), keep=("doc_id",)).count() == 0
 
 
+MIT = """MIT License
+
+Copyright (c) 2021 Jane Q. Example and the Frobnicator Authors
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+"""
+
+
+def test_complete_licence_files(spark):
+    docs = [(f"{SF}-{k}", t) for k, t in rows(table(spark, SF, "documents").select("doc_id", "text"))]
+    whole = dict(license_scan.whole_texts())
+    holder = "Copyright (c) 2019, 2020 Some Company of Somewhere\nAll rights reserved.\n\n"
+    files = {"MIT": MIT, **{k: holder + " ".join(t.split(" ")) for k, t in whole.items() if k.startswith("BSD")}}
+    files |= {k: "\n\n".join(" ".join(p.split()) for p in t.split("\n\n")) for k, t in whole.items() if k not in files}  # unwrapped lines
+    prose = "nothing in particular is said here and it goes on like that for a while " * 3
+    tree = [r for k, t in files.items() for r in ((f"{k}/LICENSE", t), (f"{k}/src/x.py", prose))]
+    got = {r[0]: r[1:] for r in rows(license_scan.licenses(spark.createDataFrame(tree + docs, "path string, text string")))}
+    for k in files:
+        assert got[f"{k}/LICENSE"][::2] == (k, "file") and got[f"{k}/LICENSE"][1] > 0.9, k
+        assert got[f"{k}/src/x.py"] == (k, None, "inherited", f"{k}/LICENSE")
+
+
 def test_licences_of_documents_against_plain_scores(spark):
     docs = table(spark, SF, "documents").withColumn("path", F.concat_ws("/", "source", F.col("doc_id").cast("string")))
     text = {r[0]: r[1] for r in rows(docs.select("path", "text"))}

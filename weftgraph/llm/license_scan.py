@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import pkgutil
 from collections import Counter
 
 import pyarrow as pa
@@ -15,6 +16,8 @@ from .decontaminate import words
 LEAST = 0.6
 #: Share of a text's words in its licence passages from which on it counts as a licence file of its directory.
 FILE_SHARE = 0.5
+#: Least cosine of a whole text to a whole licence from which on it counts as a copy of it.
+WHOLE = 0.9
 
 # Notices and first sentences of common licences.
 TEMPLATES = (
@@ -42,6 +45,18 @@ TEMPLATES = (
     ("Proprietary", "All rights reserved."),
 )
 
+#: Licences whose whole texts are in the folder ``licences``.
+WHOLE_TEXTS = ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0")
+
+
+def whole_texts() -> tuple[tuple[str, str], ...]:
+    return tuple((name, pkgutil.get_data(__package__, f"licences/{name}.txt").decode()) for name in WHOLE_TEXTS)
+
+
+def _holder(line: list[bytes]) -> bool:
+    """Whether a line names a copyright holder, which is no part of the licence."""
+    return line[:1] == [b"copyright"] and len(line) > 1 and (line[1] in (b"c", "©".encode()) or line[1].isdigit())
+
 
 class Scorer:
     """Cosine of a passage to each template over words weighted by log-scaled inverse document frequency.
@@ -82,8 +97,16 @@ class Scorer:
         return 2 * known > len(passage)
 
 
-def scan_text(text: bytes, scorer: Scorer, least: float) -> tuple[str | None, float, float]:
-    """Licence of a text by its lines and its paragraphs, the cosine, and the share of words in passages that reach ``least``."""
+def scan_text(text: bytes, scorer: Scorer, least: float, wholes: Scorer | None = None) -> tuple[str | None, float, float]:
+    """Licence of a text, the cosine, and the share of words in licence passages.
+
+    By its lines and its paragraphs that reach ``least``; but a text that as a whole
+    reaches ``WHOLE`` on one of ``wholes`` is that licence, and all of it a licence passage.
+    """
+    if wholes:
+        score, k = wholes.best([w for line in text.split(b"\n") if not _holder(run := words(line)) for w in run])
+        if score >= WHOLE:
+            return wholes.names[k], score, 1.0
     top, which, covered, total = 0.0, -1, 0, 0
     for paragraph in text.split(b"\n\n"):
         lines = [words(line) for line in paragraph.split(b"\n")]
@@ -123,14 +146,16 @@ def word_counts(texts: DataFrame, vocabulary: frozenset[bytes]) -> tuple[int, di
     return sum(r["n"] for r in got if r["word"] is None), {bytes(r["word"]): r["n"] for r in got if r["word"] is not None}
 
 
-def licenses(df: DataFrame, path_col: str = "path", text_col: str = "text", keep: tuple[str, ...] = (), templates=TEMPLATES, least: float = LEAST) -> DataFrame:
+def licenses(df: DataFrame, path_col: str = "path", text_col: str = "text", keep: tuple[str, ...] = (), templates=TEMPLATES, least: float = LEAST, wholes: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
     """The licence of every file: ``path, license, score, origin, from_path`` after the columns in ``keep``.
 
     Each line and paragraph of a whole text is compared with each template by the cosine
     of sparse TF-IDF vectors, with document frequencies over all texts. The best one of at
     least ``least`` is the file's own licence: origin ``file`` where such passages hold at
-    least half of its words (then it also licenses its directory), else ``header``. A file
-    without one takes that of the nearest directory above it that has a licence file
+    least half of its words (then it also licenses its directory), else ``header``. Before that
+    the whole text, without the lines of copyright holders, is compared alike with whole
+    licences (``wholes``, None for those of ``WHOLE_TEXTS``); one of at least ``WHOLE`` is
+    the file's licence, with origin ``file``. A file without one takes that of the nearest directory above it that has a licence file
     (ties: larger cosine, then first path): origin ``inherited``. Else ``none``.
 
     Inheritance is by joins on directories: distinct directories of open files are spread
@@ -141,16 +166,16 @@ def licenses(df: DataFrame, path_col: str = "path", text_col: str = "text", keep
     rows give repeated results; an empty table gives none; clashing names are kept apart.
     """
     rows = df.select(*[F.col(f"`{c}`").alias(f"keep{i}") for i, c in enumerate(keep)], F.col(f"`{path_col}`").alias("path"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"))
-    vocabulary = frozenset(w for _, t in templates for w in words(t.encode()))
+    wholes = whole_texts() if wholes is None else wholes
+    vocabulary = frozenset(w for _, t in (*templates, *wholes) for w in words(t.encode()))
     n, df_of = word_counts(rows.select("text"), vocabulary)
-    model = (templates, n, df_of)
     out = rows.drop("text").schema.add("license", "string").add("score", "double").add("share", "double")
     last = len(rows.columns) - 1
 
     def scan(batches):
-        scorer = Scorer(*model)
+        scorer, whole = Scorer(templates, n, df_of), Scorer(wholes, n, df_of)
         for batch in slices(batches):
-            found = [scan_text(t, scorer, least) for t in batch.column(last).to_pylist()]
+            found = [scan_text(t, scorer, least, whole) for t in batch.column(last).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.float64())], names=out.names)
 
     own = rows.mapInArrow(scan, out).withColumn("dir", F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path").isNotNull(), F.lit("")))
