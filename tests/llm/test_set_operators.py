@@ -146,6 +146,23 @@ def test_nearest_of_odd_vectors(spark):
     assert ann.nearest(df.limit(0)).count() == 0 and ann.nearest(df.filter("vec_id < 2")).count() == 1
 
 
+def test_nearest_with_repeated_rows(spark):
+    rng = np.random.default_rng(3)
+    vectors = [(k, rng.standard_normal(4).tolist()) for k in range(200)]
+    vectors += [(1000 + k, [9.0, 9.0, 9.0, 9.0]) for k in range(40)]  # equal vectors
+    df = spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>")
+    want = sorted(rows(ann.nearest(df)))
+    assert {sum(r[0] == q for r in want) for q in (0, 20, 1000, 1020)} == {20}
+    many = df.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(25))))
+    assert sorted(rows(ann.nearest(many))) == want
+    hot = df.withColumn("n", F.explode(F.sequence(F.lit(1), F.when(F.col("vec_id") == 1000, 25).otherwise(1))))
+    assert sorted(rows(ann.nearest(hot))) == want
+    # one id with 25 vectors of one score, and 20 other ids that score less
+    same = [(1, [1.0, float(k)]) for k in range(25)] + [(k, [0.5, 0.0]) for k in range(2, 22) if k != 20] + [(20, [1.0, 0.0])]
+    got = sorted(r for r in rows(ann.nearest(spark.createDataFrame(same, "vec_id bigint, embedding array<float>"))) if r[0] == 20)
+    assert [r[2] for r in got] == [1, *(k for k in range(2, 22) if k != 20)]
+
+
 def test_chi_square_quantiles():
     assert ann.chi_square_quantile(0.95, 8) == pytest.approx(15.507313, abs=1e-5)
     assert ann.chi_square_quantile(0.5, 2) == pytest.approx(2 * math.log(2), abs=1e-9)

@@ -97,7 +97,7 @@ def cell_of(p: np.ndarray, heap: list[tuple[int, float]]) -> np.ndarray:
 
 
 class Found:
-    """The best k of each query so far: scores descending, ties to the smaller id."""
+    """The best k different answers (id and score) of each query so far: scores descending, ties to the smaller id."""
 
     def __init__(self, queries: np.ndarray, ids: np.ndarray, k: int, most: float):
         self.q, self.ids, self.k, self.most = queries, ids, k, most
@@ -126,8 +126,11 @@ class Found:
             q = which[row]
             s = np.concatenate([self.score[q], exact[own]])
             i = np.concatenate([self.id[q], ids[c[own]]])
-            best = np.lexsort((i, -s))[: self.k]
-            self.score[q], self.id[q] = s[best], i[best]
+            order = np.lexsort((i, -s))
+            s, i = s[order], i[order]
+            best = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (i[1:] != i[:-1])]))[: self.k]
+            self.score[q], self.id[q] = -np.inf, np.iinfo(np.int64).max
+            self.score[q, : len(best)], self.id[q, : len(best)] = s[best], i[best]
 
 
 def search_tree(found: Found, projected: np.ndarray, x: np.ndarray, ids: np.ndarray, p: np.ndarray, stop: float) -> None:
@@ -184,13 +187,14 @@ def nearest(df: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id",
     and a vector that passes is verified on its full coordinates. A task keeps the best k
     of its queries over all its trees; those lists are merged by a ranked window.
 
-    Of equal vectors only the k + 1 of smallest ids can be an answer, so the others are
-    left out before anything is dealt (Spark ranks within each partition first, which
+    Rows that repeat both id and vector count once. Of equal vectors only the k + 1 of
+    smallest ids can be an answer, so the others are left out before anything is dealt (Spark ranks within each partition first, which
     keeps a vector that a third of rows share from meeting in one task).
 
     Vectors that are null, zero, of another length than most (the longest wins a tie), or
     that hold null or non-finite numbers take no part, nor do rows with a null id.
-    Repeated ids are rows like any other, but never answer the same id's query. With fewer
+    Repeated ids with other vectors are rows like any other (answers alike in id and score
+    count once), but never answer the same id's query. With fewer
     than k candidates all are returned; an empty table gives no rows.
     """
     spark = df.sparkSession
@@ -204,7 +208,7 @@ def nearest(df: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id",
     rows = rows.filter(F.size("vec") == width)
     norm = F.aggregate("vec", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
     copies = Window.partitionBy("vec").orderBy("vec_id")
-    kept = written(rows.withColumn("rank", F.row_number().over(copies)).filter(F.col("rank") <= k + 1).select("vec_id", "vec", norm.alias("norm")), "vectors")
+    kept = written(rows.select("vec_id", "vec").distinct().withColumn("rank", F.row_number().over(copies)).filter(F.col("rank") <= k + 1).select("vec_id", "vec", norm.alias("norm")), "vectors")
     n, most = kept.agg(F.count(F.lit(1)), F.max("norm")).first()
     cells = 1
     while cells * TREE_ROWS // 2 < n:
