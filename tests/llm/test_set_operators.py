@@ -291,6 +291,19 @@ def test_complete_licence_files(spark):
         assert got[f"{k}/src/x.py"] == (k, None, "inherited", f"{k}/LICENSE")
 
 
+def test_no_passage_is_cut_that_reaches_the_threshold():
+    rare = license_scan.Scorer((("X", "alpha beta gamma delta"),), 10**6, {})
+    name, score, _ = license_scan.scan_text(b"alpha beta gamma delta one two three four five", rare, 0.6)
+    assert name == "X" and score == pytest.approx(math.sqrt(4 / 9))
+    rng = np.random.default_rng(2)
+    scorer = license_scan.Scorer((("X", "a b c c d"), ("Y", "c d e f f")), 1000, {b"c": 900, b"d": 300, b"f": 2})
+    for _ in range(2000):
+        line = rng.choice(list("abcdefxyzuvw"), rng.integers(1, 12))
+        line = [w.encode() for w in line]
+        plain = scorer.best(line)
+        assert scorer.best(line, 0.6) == plain if plain[0] >= 0.6 else scorer.best(line, 0.6)[0] < 0.6
+
+
 def test_licences_of_documents_against_plain_scores(spark):
     docs = table(spark, SF, "documents").withColumn("path", F.concat_ws("/", "source", F.col("doc_id").cast("string")))
     text = {r[0]: r[1] for r in rows(docs.select("path", "text"))}

@@ -77,25 +77,26 @@ class Scorer:
             for w, x in weight.items():
                 self.by_word.setdefault(w, []).append((k, x / norm))
 
-    def best(self, passage: list[bytes]) -> tuple[float, int]:
-        """The largest cosine and its template (ties: the first)."""
+    def best(self, passage: list[bytes], least: float = 0.0) -> tuple[float, int]:
+        """The largest cosine and its template (ties: the first); (0, -1) where no cosine can reach ``least``.
+
+        No cosine exceeds the share that the vocabulary's words have in the passage's norm.
+        """
+        counts = Counter(passage)
+        if self.vocabulary.isdisjoint(counts):
+            return 0.0, -1
+        weight = {w: n * self.idf.get(w, self.rare) for w, n in counts.items()}
+        norm = sum(x * x for x in weight.values())
+        known = self.vocabulary.intersection(weight)
+        if sum(weight[w] ** 2 for w in known) < least * least * norm * (1 - 1e-9):
+            return 0.0, -1
         dots: dict[int, float] = {}
-        norm = 0.0
-        for w, n in Counter(passage).items():
-            x = n * self.idf.get(w, self.rare)
-            norm += x * x
+        for w, x in weight.items():
             for k, y in self.by_word.get(w, ()):
                 dots[k] = dots.get(k, 0.0) + x * y
-        if not dots:
-            return 0.0, -1
         k = min(dots, key=lambda k: (-dots[k], k))
         return dots[k] / math.sqrt(norm), k
 
-    def worth(self, passage: list[bytes]) -> bool:
-        """Whether the passage can reach any threshold of a half: as many words of the vocabulary as others at least."""
-        known = sum(map(self.vocabulary.__contains__, passage))
-        return 2 * known > len(passage)
-
 
 def scan_text(text: bytes, scorer: Scorer, least: float, wholes: Scorer | None = None) -> tuple[str | None, float, float]:
     """Licence of a text, the cosine, and the share of words in licence passages.
@@ -104,7 +105,7 @@ def scan_text(text: bytes, scorer: Scorer, least: float, wholes: Scorer | None =
     reaches ``WHOLE`` on one of ``wholes`` is that licence, and all of it a licence passage.
     """
     if wholes:
-        score, k = wholes.best([w for line in text.split(b"\n") if not _holder(run := words(line)) for w in run])
+        score, k = wholes.best([w for line in text.split(b"\n") if not _holder(run := words(line)) for w in run], WHOLE)
         if score >= WHOLE:
             return wholes.names[k], score, 1.0
     top, which, covered, total = 0.0, -1, 0, 0
@@ -113,16 +114,16 @@ def scan_text(text: bytes, scorer: Scorer, least: float, wholes: Scorer | None =
         total += sum(map(len, lines))
         held = 0
         for line in lines:
-            if line and scorer.worth(line):
-                score, k = scorer.best(line)
+            if line:
+                score, k = scorer.best(line, least)
                 if score >= least:
                     held += len(line)
                     if score > top:
                         top, which = score, k
         if len(lines) > 1:
             whole = [w for line in lines for w in line]
-            if whole and scorer.worth(whole):
-                score, k = scorer.best(whole)
+            if whole:
+                score, k = scorer.best(whole, least)
                 if score >= least:
                     held = len(whole)
                     if score > top:
