@@ -310,6 +310,96 @@ def test_evidence_reaches_every_repeat(form, between):
         assert pii.find([repeats])[0] == ([], [])
 
 
+@pytest.mark.parametrize("form", ["555-3296", "(269) 555-3296", "2695553296"])
+def test_any_number_of_repeats_gets_the_same_label(form):
+    for n in (1, 2, 3, 4, 5, 8, 10, 20, 40, 100, 250, 500):
+        text = "call +1 (269) 555-3296 now." + f" Later {form} rings." * n
+        base, every = pii.find([text])[0]
+        assert [kind for _, kind, _ in every] == [3] * (n + 1) and len(base) == 1, n
+        assert all(text[start:end] == form for start, _, end in every[1:])
+
+
+def test_evident_number_without_punctuation():
+    text = "at +1 (555) 234-5678 or 5552345678 by day"
+    assert [text[a:b] for a, _, b in pii.find([text])[0][1]] == ["+1 (555) 234-5678", "5552345678"]
+
+
+def test_messages_on_a_loop_settle_near_enumeration():
+    from itertools import product
+
+    graph = pii.Graph()
+    text = "so 5553296 1115553296 5553296 at"  # chains of three, an equal and two similar links: a graph with loops
+    graph.add(0, text, [])
+    assert len(graph.edges) > len(graph.at) - 1
+    w, pair = pii.trained()
+    w, pair = w * 0.5, pair * 0.2  # weak enough that loopy marginals are near the exact ones
+    p = pii.marginals(graph, w, pair)
+    unary, n = graph.unary(w), len(graph.at)
+    exact = np.zeros((n, 5))
+    for labels in product(range(5), repeat=n):
+        s = sum(unary[i, y] for i, y in enumerate(labels)) + sum(pair[k][labels[a], labels[b]] for a, b, k in graph.edges)
+        for i, y in enumerate(labels):
+            exact[i, y] += np.exp(s)
+    exact /= exact.sum(1, keepdims=True)
+    assert np.abs(p - exact).max() < 0.05 and (p.argmax(1) == exact.argmax(1)).all()
+
+
+def plain_find(text, least=pii.LEAST):
+    """Added spans by plain message passing: parallel rounds over dictionaries, a field of its own links."""
+    w, pair = pii.trained()
+    base, graph = plain_base(text), pii.Graph()
+    graph.add(0, text, base)
+    n = len(graph.at)
+    unary = graph.unary(w)
+    held = [any(s < e2 and e > s2 for s, _, e in base) for _, s2, e2 in graph.at]
+    near = {i: [] for i in range(n)}
+    for a, b, kind in graph.edges:
+        near[a].append((b, pair[kind]))
+        near[b].append((a, pair[kind].T))
+    sent = {(a, b): np.zeros(5) for a in near for b, _ in near[a]}
+    for _ in range(3000):
+        new = {}
+        for a in near:
+            for b, t in near[a]:
+                x = unary[a] + (0 if held[a] else sum((sent[c, a] for c, _ in near[a] if c != b), np.zeros(5)))
+                z = x[:, None] + t
+                m = np.log(np.exp(z - z.max(0)).sum(0)) + z.max(0)
+                new[a, b] = sent[a, b] + 0.5 * (m - m.max() - sent[a, b])
+        change = max((np.abs(new[k] - sent[k]).max() for k in new), default=0)
+        sent = new
+        if change < 1e-7:
+            break
+    label = {}
+    for a in range(n):
+        belief = unary[a] + sum((sent[c, a] for c, _ in near[a]), np.zeros(5))
+        p = np.exp(belief - belief.max())
+        p /= p.sum()
+        if not held[a] and p[1:].max() >= least:
+            label[a] = int(p[1:].argmax())
+    spans, chained = list(base), {(a, b) for a, b, kind in graph.edges if kind == 0}
+    for a in sorted(label):
+        if a - 1 in label and label[a - 1] == label[a] and (a - 1, a) in chained:
+            start, kind, _ = spans.pop()
+            spans.append((start, kind, graph.at[a][2]))
+        else:
+            spans.append((graph.at[a][1], label[a], graph.at[a][2]))
+    return sorted(spans)
+
+
+def test_added_spans_against_plain_message_passing(spark):
+    text = dict(rows(table(spark, SF, "documents").filter("text rlike '[0-9@]'").select("doc_id", "text")))
+    found = {doc: spans for doc, *_, spans in rows(pii.personal_data(table(spark, SF, "documents")))}
+    checked = added = 0
+    for doc, t in text.items():
+        if t and len(pii.tokens(t)) <= 60:
+            want = plain_find(t)
+            assert found[doc] == pii.spelled(want), doc
+            checked, added = checked + 1, added + (len(want) > len(plain_base(t)))
+    assert checked > 10
+    for t in ("so +1 (269) 555-3296 4524132264652876 and 555-3296 or (269) 555-3296", "a@b.org then a@b.org x A@B.org 10.1.2.3 10.1.2.3"):
+        assert pii.find([t])[0][1] == plain_find(t)
+
+
 def test_evidence_passes_a_long_chain():
     graph = pii.Graph()
     graph.add(0, " ".join(["+1 (269) 555-3296", *["7777777"] * 300]), [(0, 3, 17)])
