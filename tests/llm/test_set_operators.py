@@ -1,13 +1,14 @@
 """Sharding, main text, nearest neighbours, similarity join, licences and the pipeline against brute force, and on odd inputs."""
 
 import math
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.llm import ann, common, components, decontaminate, html_extract, license_scan, ngram_join, sharding
+from weftgraph.llm import ann, common, components, decontaminate, html_extract, html_table, license_scan, ngram_join, sharding
 from weftgraph.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -86,20 +87,76 @@ def test_main_text_of_all_pages(spark):
     import html
     import re
 
-    for page, _, text, n in rows(html_extract.extract(table(spark, SF, "pages"))):
-        source = table(spark, SF, "pages").filter(F.col("page_id") == page).first()["html"] if page < 5 else None
-        if source:
-            inner = source[source.find("<article>") + 9 : source.rfind("</article>")]
-            parts = (" ".join(html.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1|br)>", inner))
-            assert text == "\n\n".join(p for p in parts if p)
+    source = {r[0]: r[1] for r in rows(table(spark, SF, "pages").select("page_id", "html"))}
+    got = rows(html_extract.extract(table(spark, SF, "pages")))
+    assert len(got) == len(source)
+    for page, _, text, n in got:
+        inner = source[page][source[page].find("<article>") + 9 : source[page].rfind("</article>")]
+        parts = (" ".join(html.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1|br)>", inner))
+        assert text == "\n\n".join(p for p in parts if p)
         assert n == len(text) > 0
 
 
-def test_tree_learns_its_table():
-    pages = [html_extract.blocks(p) for p in html_extract.LABELLED_PAGES]
-    kept = [b.text for p in html_extract.LABELLED_PAGES for b in html_extract.blocks(p) if b.text in html_extract.main_text(p).split("\n\n")]
-    labelled = [b.text for p in pages for b in p if b.label]
-    assert sum(t in kept for t in labelled) >= 0.9 * len(labelled)
+def decided(block_row, tree):
+    node = tree
+    while len(node) > 1:
+        node = node[2] if block_row[node[0]] <= node[1] else node[3]
+    return node[0]
+
+
+def test_tree_splits_on_neighbours_and_judges_pages_it_has_not_seen():
+    used = set()
+
+    def walk(node):
+        if len(node) > 1:
+            used.add(html_extract.FEATURES[node[0]])
+            walk(node[2])
+            walk(node[3])
+
+    tree = html_extract.trained()
+    walk(tree)
+    assert len([f for f in used if f.endswith(("before", "after"))]) >= 4
+    right = total = 0
+    for page in html_table.labelled_pages(90, seed=5):
+        found = html_extract.blocks(page)
+        for block, row in zip(found, html_extract.features(found)):
+            right, total = right + (decided(row, tree) == block.label), total + 1
+    assert right / total > 0.98
+
+
+def test_features_are_those_of_the_neighbours():
+    found = html_extract.blocks("<p>a b c</p><p>d <a>e</a></p><h2>f</h2><p><a>g h</a></p>")
+    x = html_extract.features(found).tolist()
+    assert [b.text for b in found] == ["a b c", "d e", "f", "g h"]
+    assert x[1] == [2, 0.5, 3, 0, 1, 0, 0, 0, 2, 1, 0, 0, 0]
+    assert x[2] == [1, 0, 2, 0.5, 2, 1, 3, 0, 0, 0, 0, 1, 0]
+    marked = html_extract.blocks("<p>a</p><main><p>b</p><aside>c</aside><article>d<article>e</article></article></main><nav>f</nav>")
+    assert html_extract.features(marked)[:, -3].tolist() == [-1, 1, -1, 1, -1, -1]
+
+
+LONG = "The harbour was quiet in the morning and the boats lay still, while the old men sat on the wall and talked about the weather, the price of fish and the years before the war."
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<div><h2>Title</h2><p>{LONG}</p><p>Short one.</p><p>{LONG}</p></div>", ["Title", LONG, "Short one.", LONG]),
+        (f"<div><a>Home</a> <a>News</a> <a>About</a></div><div><h1>On the wall</h1><p>{LONG} {LONG}</p><p>So it was.</p><p>{LONG}</p></div><div><a>One more</a> | <a>Two more</a></div><div>(c) 2020 the house</div>", ["On the wall", f"{LONG} {LONG}", "So it was.", LONG]),
+        (f"<article><p>{LONG}</p><button>Go<p>{LONG}</p><svg><p>Next</p></article><div>x</div>", [LONG, LONG, "Next"]),
+        (f"<article><p>{LONG}<svg><g><svg></svg></g></svg> on</p><button>a</button><p>End</p><select><option>1<option>2</select></article>", [f"{LONG} on", "End"]),
+        (f"<article><p>{LONG}</p><button>x<p>kept</p><button>y</button><p>too</p><template><p>no</p></template></article>", [LONG, "kept", "too"]),
+        (f"<main><p>{LONG}</p><article><p>Story</p><article>A reader's word</article></article></main>", [LONG, "Story"]),
+    ],
+)
+def test_pages_without_class_names_and_with_open_elements(page, want):
+    assert html_extract.main_text(page).split("\n\n") == want
+
+
+@pytest.mark.parametrize("page", ["<button>" * 60_000, "<ul>" * 60_000 + "</div>" * 60_000, "<svg>" * 60_000, "<p><svg></p>" * 30_000, "<article>" * 60_000, "<select x" * 60_000, "<div>" * 60_000 + "<article></article>" * 60_000])
+def test_odd_pages_take_no_long_time(page):
+    began = time.perf_counter()
+    html_extract.main_text(page)
+    assert time.perf_counter() - began < 30
 
 
 # nearest neighbours

@@ -5,26 +5,27 @@ from __future__ import annotations
 import functools
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import map_rows, only
+from .html_table import labelled_pages
 
-# Element names of HTML and words of class names.
+# Element names of HTML and roles of ARIA.
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 _CONTAINER = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form header main menu nav ol section table ul td".split())
 _RAW = frozenset("script style textarea title iframe noembed noframes xmp template svg noscript object select button canvas math".split())
+_NESTING = frozenset("template svg object math".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ASIDE_TAGS = frozenset("nav footer aside form menu dialog".split())
-_ASIDE_WORDS = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
-_MAIN_WORDS = frozenset("article body content entry main post story text".split())
 _ASIDE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 _TAG = re.compile(r"([a-zA-Z][a-zA-Z0-9:-]*)")
-_ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|data-main)(?![\w-])(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""(?<![\w-])(role|hidden|data-main)(?![\w-])(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.IGNORECASE)
 _END_OF_TAG = re.compile(r"""[^>"']*+(?:"[^"]*"[^>"']*+|'[^']*'[^>"']*+)*+>""")
-_PART = re.compile(r"[^a-z0-9]+")
+_BORDER = re.compile(rf"</?(?:{'|'.join(sorted(_BLOCK - {'optgroup', 'option', 'title'}))})(?![a-zA-Z0-9:-])", re.IGNORECASE)
 
 
 class Block:
@@ -35,40 +36,68 @@ class Block:
         self.aside, self.main, self.heading, self.item, self.label = aside, main, heading, item, label
 
 
-def _place(tag: str, attributes: str, inside_main: bool) -> tuple[bool, bool, bool]:
-    """Whether an element is an aside, is main content, and is labelled as main (in the labelled table)."""
-    aside = tag in _ASIDE_TAGS or tag == "header" and not inside_main
+def _place(tag: str, attributes: str, inside_main: bool, inside_article: bool) -> tuple[bool, bool, bool]:
+    """Whether an element's name or role makes it an aside, or main content, and whether the labelled table marks it as main.
+
+    An article within an article is a reader's comment, as HTML has it; a header within
+    main content belongs to it.
+    """
+    aside = tag in _ASIDE_TAGS or (tag == "header" and not inside_main) or (tag == "article" and inside_article)
     main, label = tag in ("article", "main"), False
-    if attributes:
-        for m in _ATTRIBUTE.finditer(attributes):
-            name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-            if name == "role":
-                aside |= value in _ASIDE_ROLES
-                main |= value in ("main", "article")
-            elif name == "hidden":
-                aside = True
-            elif name == "data-main":
-                label = True
-            elif tag not in ("body", "html"):
-                parts = set(_PART.split(value))
-                hit = parts & _ASIDE_WORDS
-                if hit and not (parts & _MAIN_WORDS and not hit & {"ad", "ads", "comment", "comments", "reply", "replies", "related", "sidebar"}):
-                    aside = True
-                elif parts & _MAIN_WORDS and not hit:
-                    main = True
+    for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if name == "role":
+            aside |= value in _ASIDE_ROLES
+            main |= value in ("main", "article")
+        elif name == "hidden":
+            aside = True
+        else:
+            label = True
     return aside, main, label
 
 
+def _after_raw(page: str, tag: str, at: int, endless: set[str]) -> int:
+    """Where a page goes on after an element whose contents are no text.
+
+    That is behind its end tag. If there is none, or another element of the kind begins
+    before it (and the kind does not nest), it was left open: then the next block border
+    ends it, so that no article is lost; an open script or style runs to the page's end,
+    as browsers have it. ``endless`` remembers names without a further end tag.
+    """
+    depth, low = 1, at
+    marks = re.compile(rf"<(/?){tag}(?![a-zA-Z0-9:-])[^>]*>?", re.IGNORECASE)
+    while tag not in endless:
+        m = marks.search(page, low)
+        if not m:
+            endless.add(tag)
+            break
+        low = m.end()
+        if m[1]:
+            depth -= 1
+            if not depth:
+                return low
+        elif tag in _NESTING:
+            depth += not m[0].endswith("/>")
+        elif tag not in ("script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp"):  # in those a start tag is just text
+            break
+    if tag in ("script", "style"):
+        return len(page)
+    border = _BORDER.search(page, at)
+    return border.start() if border else len(page)
+
+
 def blocks(page: str) -> list[Block]:
     """Flat text blocks of a page in order, with what the classifier needs.
 
     A block is the text between two borders of block elements; inline markup does not
     end it. Contents of scripts, styles and the like, comments and declarations are no
-    text. Unclosed elements and tags are taken as they come; ``<`` before anything but a
-    tag is text.
+    text. Unclosed elements and tags are taken as they come (see :func:`_after_raw`); ``<``
+    before anything but a tag is text.
     """
     out: list[Block] = []
     stack: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]
+    endless: set[str] = set()
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     linked: list[str] = []
     in_link, heading, item, low, n = False, False, False, 0, len(page)
@@ -120,8 +149,7 @@ def blocks(page: str) -> list[Block]:
         if tag in _RAW and not closing and not attributes.endswith("/"):
             if tag in _BLOCK:
                 close()
-            shut = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, stop)
-            low = shut.end() if shut else n
+            low = _after_raw(page, tag, stop, endless)
             continue
         if tag in ("br", "wbr"):
             text(" " if tag == "br" else "")
@@ -135,13 +163,13 @@ def blocks(page: str) -> list[Block]:
             if tag in _CONTAINER:
                 if not closing:
                     _, aside, main, label = stack[-1]
-                    a, b, lab = _place(tag, attributes, main)
-                    stack.append((tag, aside or a, (main or b) and not a, label or lab))
-                else:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] == tag:
-                            del stack[k:]
-                            break
+                    a, b, lab = _place(tag, attributes, main, opened["article"] > 0)
+                    stack.append((tag, aside or a, (main or b) and not a, (label or lab) and not a))
+                    opened[tag] += 1
+                elif opened[tag]:
+                    while (gone := stack.pop()[0]) != tag:
+                        opened[gone] -= 1
+                    opened[tag] -= 1
             heading, item = tag in _HEADING and not closing, (tag == "li" and not closing) or (item and tag != "li" and not closing)
         elif tag in ("img", "input"):
             text(" ")
@@ -149,66 +177,61 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-FEATURES = ("words", "link density", "words before", "link density before", "words after", "link density after", "aside", "main", "heading", "item")
+NEIGHBOURS = (-1, 1, -2, 2)
+FEATURES = ("words", "link density", *(f"{what} {abs(d)} {'before' if d < 0 else 'after'}" for d in NEIGHBOURS for what in ("words", "link density")), "place", "heading", "item")
 
 
 def features(found: list[Block]) -> np.ndarray:
-    """One row per block: its own and its neighbours' word counts and link densities, and where it stands."""
-    x = np.zeros((len(found) + 2, len(FEATURES)))
-    for k, b in enumerate(found, 1):
-        x[k, 0], x[k, 1] = b.words, min(1.0, b.link_words / b.words)
-        x[k, 6:] = b.aside, b.main, b.heading, b.item
-    x[1:-1, 2:4], x[1:-1, 4:6] = x[:-2, :2], x[2:, :2]
-    return x[1:-1]
-
-
-_L = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty more words that tell a story of some length"
-#: The small labelled table: pages whose main content stands in elements marked data-main.
-LABELLED_PAGES = (
-    f"<body><nav><ul><li><a href=x>Home</a></li><li><a>News</a></li><li><a>All about it</a></li></ul></nav><div class=ad>Buy now, cheap and good things for you today.</div><article data-main><h1>Title here</h1><p>{_L}</p><p>Short.</p><p>{_L} <a>with a link</a></p></article><footer>(c) 2020 some house, all rights reserved by us.</footer></body>",
-    f"<body><header><h1>The Site</h1><p>Our daily words for all of you and more</p></header><main data-main><h2>Head</h2><p>{_L}</p><ul><li>first point</li><li>second point of it</li></ul><p>End.</p></main><aside><h3>Related</h3><p>{_L}</p></aside><footer><p>{_L}</p></footer></body>",
-    f"<div id=menu><a>One</a> <a>Two</a> <a>Three</a></div><div class=content><div data-main><p>{_L}</p><p>{_L}</p><p>Two words</p></div></div><div class=comments><p>{_L}</p><p>I like it</p></div><div class='cookie-notice'>We use cookies for a better time on this site. Accept them all.</div>",
-    f"<div><a>Home</a> | <a>About us</a> | <a>Contact</a></div><div data-main><p>{_L} {_L}</p><p>{_L}</p></div><div><a>Next page</a> <a>Last page of them</a></div><div>Copyright 2021</div>",
-    f"<table><tr><td><a>Start</a><br><a>Shop</a><br><a>Help for all</a></td><td data-main><p>{_L}</p><p>{_L} {_L}</p><p>{_L}</p></td></tr></table><div>Page 1</div>",
-    f"<form><p>{_L}</p><label>Your name</label></form><article data-main><p>Only one line here.</p></article><div class=sidebar><p>{_L} {_L}</p></div><div class=share><a>Send</a></div>",
-    f"<article data-main><h1>A</h1><p>B.</p><p>C d.</p><ul><li>{_L}</li><li>x</li></ul></article><section class='related-posts'><p>{_L}</p><p>More</p></section>",
-    f"<div class=banner>{_L}</div><div class=post data-main><h2>Post</h2><p><a>A link alone</a></p><p>{_L}</p></div><div class='comment reply'><p>{_L}</p></div><div class=footer>Imprint</div>",
-    f"<p data-main></p><div data-main><p>{_L} {_L} {_L}</p><p>{_L}</p></div><p><a>{_L}</a></p><p>Tiny</p>",
-    "<nav><a>A</a><a>B</a></nav><article data-main><p><a>whole line is linked</a></p><p>one</p></article><div class=ad>ad</div><footer>end of it</footer>",
-)
-
-
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> tuple:
-    """A binary decision tree by least Gini impurity; ties go to the first feature and the lowest threshold."""
-    share = y.mean() if len(y) else 0.0
-    if depth == 0 or share in (0.0, 1.0):
-        return (bool(share > 0.5),)
+    """One row per block: its own and its neighbours' word counts and link densities, and what the elements around it say.
+
+    ``place`` is 1 in a page's main element, -1 in an aside element or outside the main
+    element of a page that has one, and 0 where the page says nothing.
+    """
+    n, reach = len(found), 2
+    own = np.zeros((n + 2 * reach, 2))
+    own[reach : reach + n, 0] = [b.words for b in found]
+    own[reach : reach + n, 1] = [min(1.0, b.link_words / b.words) for b in found]
+    around = [own[reach + d : reach + d + n] for d in (0, *NEIGHBOURS)]
+    elsewhere = -1 if any(b.main for b in found) else 0
+    place = [1 if b.main else -1 if b.aside else elsewhere for b in found]
+    return np.concatenate([*around, np.array([(p, b.heading, b.item) for p, b in zip(place, found)], float).reshape(n, 3)], axis=1)
+
+
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 10, least: int = 4) -> tuple:
+    """A binary decision tree by least Gini impurity with at least ``least`` rows a leaf; ties go to the first feature and the lowest threshold."""
+    n, share = len(y), y.mean() if len(y) else 0.0
     best = None
-    for j in range(x.shape[1]):
-        values = np.unique(x[:, j])
-        for t in (values[:-1] + values[1:]) / 2:
-            left = x[:, j] <= t
-            score = sum(m.sum() * 2 * y[m].mean() * (1 - y[m].mean()) for m in (left, ~left))
-            if best is None or score < best[0] - 1e-12:
-                best = score, j, float(t), left
+    if depth and 0.0 < share < 1.0:
+        sizes = np.arange(1, n)
+        for j in range(x.shape[1]):
+            order = np.argsort(x[:, j], kind="stable")
+            v, left = x[order, j], np.cumsum(y[order])[:-1]
+            right = y.sum() - left
+            score = left * (1 - left / sizes) + right * (1 - right / (n - sizes))
+            score[(v[1:] == v[:-1]) | (sizes < least) | (n - sizes < least)] = np.inf
+            k = int(score.argmin()) if n > 1 else 0
+            if n > 1 and np.isfinite(score[k]) and (best is None or score[k] < best[0] - 1e-12):
+                best = float(score[k]), j, float(v[k] + v[k + 1]) / 2
     if best is None:
         return (bool(share > 0.5),)
-    _, j, t, left = best
-    return j, t, grow(x[left], y[left], depth - 1), grow(x[~left], y[~left], depth - 1)
+    _, j, t = best
+    low = x[:, j] <= t
+    return j, t, grow(x[low], y[low], depth - 1, least), grow(x[~low], y[~low], depth - 1, least)
 
 
 @functools.cache
 def trained() -> tuple:
-    pages = [blocks(p) for p in LABELLED_PAGES]
-    return grow(np.concatenate([features(p) for p in pages]), np.array([b.label for p in pages for b in p]))
+    """The tree of the labelled table."""
+    pages = [blocks(p) for p in labelled_pages()]
+    return grow(np.concatenate([features(p) for p in pages]), np.array([b.label for p in pages for b in p], float))
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, tree: tuple | None = None) -> str:
     """Blocks that the tree takes for main content, joined by an empty line."""
     found = blocks(page) if page else []
     if not found:
         return ""
-    keep, tree = [], trained()
+    keep, tree = [], tree or trained()
     for block, row in zip(found, features(found).tolist()):
         node = tree
         while len(node) > 1:
@@ -221,18 +244,20 @@ def main_text(page: str | None) -> str:
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Main text of every page: ``page_id, url, text, n_chars``.
 
-    Each page becomes flat text blocks with word counts, link densities of the block and
-    its neighbours, and where it stands; a decision tree trained on a small labelled
-    table tells main content from the rest. Character references are decoded, white
-    space in a block becomes one space, blocks are joined by two line feeds.
+    Each page becomes flat text blocks with word counts and link densities of the block and
+    its neighbours, and the elements it stands in (HTML's names and ARIA's roles, no class
+    names); a decision tree trained on a small labelled table tells main content from the
+    rest. Character references are decoded, white space in a block becomes one space,
+    blocks are joined by two line feeds.
 
     Null or empty html, and pages without main text, give the empty text; null ids and
     urls stay null; repeated rows give repeated results; an empty table gives none;
     other columns are ignored. Pages are read whole, in one narrow pass.
     """
+    tree = trained()
 
     def fold(batch: pa.RecordBatch) -> dict[str, list]:
-        text = [main_text(p) for p in batch.column(2).to_pylist()]
+        text = [main_text(p, tree) for p in batch.column(2).to_pylist()]
         return {"page_id": batch.column(0), "url": batch.column(1), "text": text, "n_chars": [len(t) for t in text]}
 
     return map_rows(only(df, page_id=id_col, url=url_col, html=html_col), fold, "page_id bigint, url string, text string, n_chars bigint")
