@@ -11,28 +11,33 @@ from weftgraph.llm import decontaminate, lang_id, ngram_join, packing, pii
 from weftgraph.llm.common import owned, release, table, written
 
 
+# What holds for every stage: all rows that stay keep all columns, whatever their names; a null id is
+# an id like others; repeated rows are treated alike (near_copies keeps the first of them); an empty table
+# gives an empty one.
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; those without text or letters, or of no clear language, go."""
+    """Documents whose language is known; those of null or empty text, without letters, or of no clear language, go."""
     return lang_id.keep_identified(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the first, of each group linked by word 5-grams at 0.8 or more."""
+    """One document, the first, of each group linked by word 5-grams at 0.8 or more; each null text stays."""
     return ngram_join.one_of_each(docs)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
+    """Documents in which no window of a benchmark item occurs: all of them if the benchmark is empty, and those of null text."""
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data in their texts masked."""
+    """All documents, personal data in their texts masked; null texts stay null."""
     return pii.mask(docs, chars_col="n_chars" if "n_chars" in docs.columns else None)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents' pieces in sequences of 4096 tokens."""
+    """All documents' pieces in sequences of 4096 tokens; null texts count as empty."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -61,9 +66,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = written(docs, name, registered=False)
-    return docs
+    """The stages one after another on ``documents``, each result written before the next stage reads it.
+
+    A stage's result is deleted when the next one's has been written; the last written one,
+    which the returned frame reads, stays until ``release(spark, "pipeline pii")``.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        found = stage(spark, docs, sf_dir)
+        with owned(f"pipeline {name}"):
+            docs = written(found, name)
+        if before:
+            release(spark, f"pipeline {before}")
+        before = name
+    return STAGES[-1][1](spark, docs, sf_dir)
