@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,27 +24,32 @@ _owner = ["queries"]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which the whole cluster sees; one of our own only where none is set."""
+    """The folder of ``spark.checkpoint.dir``, which the whole cluster sees.
+
+    Where none is set, a temporary folder of this machine, but only if Spark runs on this
+    machine alone: executors elsewhere would each write to their own disk, so that raises.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="weftgraph-")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
-def written(df: DataFrame, name: str, registered: bool = True) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back.
 
     It cuts the lineage so that an expensive pass runs once, and it survives lost
     executors: the files are in the shared folder, not in an executor's memory. The file
-    is deleted by :func:`release` for its owner, unless it is not ``registered``.
+    is deleted by :func:`release` for its owner.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftgraph/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    if registered:
-        _written.setdefault((spark.sparkContext.applicationId, _owner[-1]), []).append(path)
+    _written.setdefault((spark.sparkContext.applicationId, _owner[-1]), []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -71,7 +77,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def checked_broadcast(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``small`` with a broadcast hint if it has at most ``limit`` rows by count, else as it is (a shuffled join)."""
-    return F.broadcast(small) if len(small.limit(limit + 1).select(F.lit(1)).take(limit + 1)) <= limit else small
+    return F.broadcast(small) if small.limit(limit + 1).count() <= limit else small
 
 
 #: Bytes of a record batch that a function sees at once, and rows; bound a worker's Python objects.
@@ -120,7 +126,11 @@ def map_rows(df: DataFrame, fold: Callable[[pa.RecordBatch], dict[str, list]], s
 
 
 def filter_rows(df: DataFrame, text_col: str, keep: Callable[[list], list[bool]]) -> DataFrame:
-    """The rows of ``df`` with all their columns for whose text ``keep`` says so; one narrow pass."""
+    """The rows of ``df`` with all their columns, whatever their names, for whose text ``keep`` says so; one narrow pass.
+
+    ``keep`` sees null texts as None and is given batches of at most ``SLICE_ROWS`` rows;
+    repeated rows and null ids are rows like others; an empty table gives none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
