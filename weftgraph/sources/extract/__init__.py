@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,6 +13,8 @@ from . import blocks, others, routes
 from .grammar import GRAMMARS
 from .model import Extraction
 
+log = logging.getLogger(__name__)
+
 EXTRACTORS = {
     **{language: blocks.extract for language in GRAMMARS},
     "python": others.extract_python,
@@ -34,9 +37,19 @@ ROWS = T.StructType([T.StructField("path", T.StringType()), T.StructField("parse
 
 
 def extract_file(path: str, language: str, text: str) -> Extraction | None:
-    """Everything found in one file, with its routes; None if the language has no extractor."""
+    """Everything found in one file, with its routes; None if the language has no extractor.
+
+    A file that an extractor cannot take (nested deeper than its parser holds, say) gives
+    its file node alone, with a parse error, so that one odd file never ends a job.
+    """
     extractor = EXTRACTORS.get(language)
-    return routes.append(extractor(path, language, text)) if extractor else None
+    if not extractor:
+        return None
+    try:
+        return routes.append(extractor(path, language, text))
+    except Exception as e:
+        log.warning("%s was not read: %s", path, type(e).__name__)
+        return Extraction(path, language, text, parse_errors=1)
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:

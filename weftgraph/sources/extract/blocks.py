@@ -84,7 +84,7 @@ def _symbols(grammar: Grammar, code: str, text: str, comments, braces: dict[int,
             mods = (groups.get("mods") or "") + " " + code[max(0, code.rfind("\n", 0, start) + 1) : at]
             s.base, s.impl, s.recv = groups.get("base"), groups.get("impl"), (groups.get("recv") or "").rstrip(":")
             _body(s, m.end(), code, braces)
-            s.signature = re.sub(r"\s+", " ", text[start : s.body[0] - 1 if s.body[1] else s.end]).strip()[:500]
+            s.signature = re.sub(r"\s+", " ", text[start : s.body[0] - 1 if s.body[1] else s.end]).strip()
             s.docstring = comment_before(text, comments, code.rfind("\n", 0, start) + 1 if not code[code.rfind("\n", 0, start) + 1 : start].strip() else start)
             words = set(re.findall(r"\w+", mods))
             s.visibility = next((v for v in ("public", "private", "protected", "internal", "fileprivate") if v in words), "public" if "pub" in words else None)
@@ -164,6 +164,7 @@ def _imports(out: Extraction, grammar: Grammar, code: str, text: str) -> None:
 
 def _calls(out: Extraction, grammar: Grammar, symbols: list[Symbol], code: str, language: str) -> None:
     declared = {s.name_at for s in symbols}
+    signatures = [s.body for s in symbols if s.kind == "interface" and language in ("javascript", "typescript")]  # members, no calls
     scopes = sorted((s for s in symbols if s.kind in CALLABLE and s.body[1]), key=lambda s: s.body[0])
     types: dict[int, dict[str, str]] = {}
 
@@ -178,6 +179,8 @@ def _calls(out: Extraction, grammar: Grammar, symbols: list[Symbol], code: str,
         at, name = m.start("name"), m["name"]
         if at in declared or name in KEYWORDS and not m["chain"] or name in grammar.self_words:
             continue
+        if any(a <= at < b for a, b in signatures):
+            continue
         scope = None
         for s in scopes:
             if s.body[0] > at:

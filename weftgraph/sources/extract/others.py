@@ -19,9 +19,8 @@ def _spelled(node: ast.AST) -> str:
 
 def extract_python(path: str, language: str, text: str) -> Extraction:
     out = Extraction(path, language, text)
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError):
+    tree = _parsed(text)
+    if tree is None:
         tree = _longest_parse(text)
         out.parse_errors = 1
     lines = out._lines
@@ -36,11 +35,16 @@ def extract_python(path: str, language: str, text: str) -> Extraction:
             return "!" + last
         return types.get(last) if last else None
 
-    def walk(body, parent: Symbol | None, scope: Symbol | None, types: dict[str, str]) -> None:
-        for n in body:
-            visit(n, parent, scope, types)
+    # A stack of (node, its container, its callable, known types of names) instead of recursion, so that no nesting is too deep.
+    stack: list[tuple[ast.AST, Symbol | None, Symbol | None, dict[str, str]]] = []
+
+    def later(nodes, parent: Symbol | None, scope: Symbol | None, types: dict[str, str]) -> list:
+        return [(n, parent, scope, types) for n in nodes]
 
-    def visit(n: ast.AST, parent: Symbol | None, scope: Symbol | None, types: dict[str, str]) -> None:
+    stack += reversed(later(tree.body, None, None, {}))
+    while stack:
+        n, parent, scope, types = stack.pop()
+        then: list = []
         if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
             names = {d.id if isinstance(d, ast.Name) else getattr(d, "attr", "") for d in n.decorator_list}
             head = text[at(n) :].split(":\n", 1)[0].split("\n", 1)[0].strip().rstrip(":")
@@ -50,19 +54,13 @@ def extract_python(path: str, language: str, text: str) -> Extraction:
             for a in [*n.args.posonlyargs, *n.args.args, *n.args.kwonlyargs]:
                 if isinstance(a.annotation, ast.Name):
                     own[a.arg] = a.annotation.id
-            for d in n.decorator_list:
-                visit(d, parent, scope, types)
-            for d in [*n.args.defaults, *(x for x in n.args.kw_defaults if x)]:
-                visit(d, parent, scope, types)
-            walk(n.body, s, s, own)
+            then = later([*n.decorator_list, *n.args.defaults, *(x for x in n.args.kw_defaults if x)], parent, scope, types) + later(n.body, s, s, own)
         elif isinstance(n, ast.ClassDef):
             s = Symbol("class", n.name, at(n), until(n), signature=text[at(n) :].split("\n", 1)[0].strip().rstrip(":"), docstring=ast.get_docstring(n), visibility="private" if n.name.startswith("_") else "public", exported=not n.name.startswith("_"), parent=parent)
             out.add(s)
             for b in n.bases:
                 out.refer(s, _spelled(b).split("[")[0].split(".")[-1], "extends")
-            for d in n.decorator_list:
-                visit(d, parent, scope, types)
-            walk(n.body, s, scope, types)
+            then = later(n.decorator_list, parent, scope, types) + later(n.body, s, scope, types)
         elif isinstance(n, (ast.Import, ast.ImportFrom)):
             module = getattr(n, "module", None) or ""
             for a in n.names:
@@ -70,16 +68,15 @@ def extract_python(path: str, language: str, text: str) -> Extraction:
                 out.add(Symbol("import", target, at(n), until(n)))
                 out.refer(None, target, "imports")
         elif isinstance(n, ast.Call):
-            f = n.func
+            f, inner = n.func, []
             if isinstance(f, ast.Attribute):
                 out.refer(scope, f.attr, "calls", hint(f.value, types))
-                visit(f.value, parent, scope, types)
+                inner = [f.value]
             elif isinstance(f, ast.Name):
                 out.refer(scope, f.id, "calls")
             else:
-                visit(f, parent, scope, types)
-            for x in [*n.args, *(k.value for k in n.keywords)]:
-                visit(x, parent, scope, types)
+                inner = [f]
+            then = later([*inner, *n.args, *(k.value for k in n.keywords)], parent, scope, types)
         else:
             if isinstance(n, ast.Assign) and isinstance(n.value, ast.Call) and isinstance(n.value.func, ast.Name) and n.value.func.id[:1].isupper():
                 for t in n.targets:
@@ -87,24 +84,27 @@ def extract_python(path: str, language: str, text: str) -> Extraction:
                         types[t.id] = n.value.func.id
             elif isinstance(n, ast.AnnAssign) and isinstance(n.target, ast.Name) and isinstance(n.annotation, ast.Name):
                 types[n.target.id] = n.annotation.id
-            for child in ast.iter_child_nodes(n):
-                visit(child, parent, scope, types)
-
-    walk(tree.body, None, None, {})
+            then = later(ast.iter_child_nodes(n), parent, scope, types)
+        stack += reversed(then)
     return out
 
 
+def _parsed(text: str) -> ast.Module | None:
+    """The syntax tree, or None where Python's parser gives up (also for nesting beyond what it can hold)."""
+    try:
+        return ast.parse(text)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return None
+
+
 def _longest_parse(text: str) -> ast.Module:
     """What parses of a broken file: its top-level chunks one by one, at their own lines."""
     tree = ast.Module(body=[], type_ignores=[])
     rows = text.split("\n")
     starts = [k for k, row in enumerate(rows) if row and not row[0].isspace() and not row.startswith(("#", ")", "]", "}"))] + [len(rows)]
     for a, b in zip(starts, starts[1:]):
-        try:
-            part = ast.parse("\n" * a + "\n".join(rows[a:b]))
-        except (SyntaxError, ValueError):
-            continue
-        tree.body += part.body
+        part = _parsed("\n" * a + "\n".join(rows[a:b]))
+        tree.body += part.body if part else []
     return tree
 
 
@@ -201,13 +201,15 @@ def extract_lisp(path: str, language: str, text: str) -> Extraction:
         return x[1] if len(x) == 2 else None
 
     def calls(item, scope: Symbol | None) -> None:
-        if len(item) == 2:
-            return
-        head = item[1][0] if item[1] else None
-        if head is not None and (name := atom(head)) and not name[0].isdigit() and name[0] not in "\"#:?\\":
-            out.refer(scope, name, "calls")
-        for x in item[1]:
-            calls(x, scope)
+        stack = [item]
+        while stack:
+            item = stack.pop()
+            if len(item) == 2:
+                continue
+            head = item[1][0] if item[1] else None
+            if head is not None and (name := atom(head)) and not name[0].isdigit() and name[0] not in "\"#:?\\":
+                out.refer(scope, name, "calls")
+            stack += reversed(item[1])
 
     for form in _lists(code):
         if len(form) == 2 or not form[1]:
@@ -220,7 +222,7 @@ def extract_lisp(path: str, language: str, text: str) -> Extraction:
             if word == "define":
                 kind = "variable" if len(items[1]) == 2 and not (len(items) > 2 and len(items[2]) == 3 and items[2][1] and atom(items[2][1][0]) == "lambda") else "function"
         if kind and name:
-            s = Symbol(kind, name.lstrip(":#'").strip('"'), start, end, signature=text[start:end].split("\n", 1)[0][:200], docstring=comment_before(text, comments, start), exported=True)
+            s = Symbol(kind, name.lstrip(":#'").strip('"'), start, end, signature=text[start:end].split("\n", 1)[0], docstring=comment_before(text, comments, start), exported=True)
             out.add(s)
             for x in items[2:]:
                 calls(x, s if kind == "function" else None)
