@@ -61,6 +61,14 @@ def test_paths(spark):
     assert graph.call_path(e, "a", "a") == ["a"]
 
 
+def test_paths_of_any_length(spark):
+    e = edges(spark, *((f"n{k:03}", f"n{k + 1:03}") for k in range(200)), ("n000", "x"), ("x", "n002"))
+    assert graph.call_path(e, "n000", "n200") == [f"n{k:03}" for k in range(201)]
+    assert graph.call_path(e, "n000", "n200", max_visited=100) is None
+    assert graph.call_path(e.filter("source < 'n018'"), "n000", "n018", one_task=0) == [f"n{k:03}" for k in range(19)]
+    assert graph.call_path(e, "n000", "n200", max_visited=3, one_task=0) is None
+
+
 def test_pagerank_values_both_ways(spark):
     e = edges(spark, ("b", "a"), ("c", "b"))
     want = {"a": 1.0, "b": 0.719145, "c": 0.388727}

@@ -95,21 +95,48 @@ def impact(edges: DataFrame, seeds: DataFrame, max_depth: int = 5, nodes: DataFr
     return functools.reduce(DataFrame.unionByName, levels)
 
 
-def call_path(edges: DataFrame, source: str, target: str, nodes: DataFrame | None = None, per_node: int = 50, max_visited: int = 10_000, max_depth: int = 64) -> list[str] | None:
+def call_path(edges: DataFrame, source: str, target: str, nodes: DataFrame | None = None, per_node: int = 50, max_visited: int = 10_000, one_task: int = ONE_TASK_EDGES) -> list[str] | None:
     """A shortest chain of calls from ``source`` to ``target`` as ids, or None.
 
     Each node is reached from its least possible predecessor of the level before, so the
-    answer is unique. The walk gives up beyond ``max_visited`` nodes. Levels are kept as
-    (node, parent) tables; only the answer's nodes come to the driver.
+    answer is unique, however long it is. The walk gives up beyond ``max_visited`` nodes.
+    A graph whose edges were counted and are few is walked by one task; in a larger one a
+    level is a join, levels are kept as (node, parent) tables, and only the answer's nodes
+    come to the driver.
     """
     if source == target:
         return [source]
     spark = edges.sparkSession
     step = (top_neighbours(edges, nodes, "source", per_node) if nodes is not None else calls(edges)).select("source", "target").distinct()
     step = cut(step)
+    if step.count() <= one_task:
+
+        def run(frames):
+            import pandas as pd
+
+            after: dict = {}
+            for frame in frames:
+                for a, b in zip(frame["source"], frame["target"]):
+                    after.setdefault(a, []).append(b)
+            parent, frontier = {source: None}, [source]
+            while frontier and target not in parent and len(parent) <= max_visited:
+                reached: dict = {}
+                for a in frontier:
+                    for b in after.get(a, ()):
+                        if b not in parent and (b not in reached or a < reached[b]):
+                            reached[b] = a
+                parent |= reached
+                frontier = list(reached)
+            path = [target] if target in parent else []
+            while path and path[-1] != source:
+                path.append(parent[path[-1]])
+            yield pd.DataFrame({"at": range(len(path)), "id": pd.Series(path[::-1], dtype=object)})
+
+        path = [r["id"] for r in step.coalesce(1).mapInPandas(run, "at int, id string").orderBy("at").collect()]
+        return path or None
     seen = spark.createDataFrame([(source,)], "id string")
     frontier, levels, visited = seen, [], 1
-    for _ in range(max_depth):
+    while visited <= max_visited:
         reached = step.join(frontier.withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id")).agg(F.min("source").alias("parent"))
         reached = cut(reached.join(seen, "id", "left_anti"))
         n = reached.count()
@@ -122,10 +149,10 @@ def call_path(edges: DataFrame, source: str, target: str, nodes: DataFrame | Non
                 path.append(level.filter(F.col("id") == path[-1]).first()["parent"])
             return path[::-1]
         visited += n
-        if visited > max_visited:
-            return None
         frontier = reached.select("id")
-        seen = cut(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
+        if len(levels) % 16 == 0:  # levels are kept already; this only keeps the plan short
+            seen = cut(seen)
     return None
 
 

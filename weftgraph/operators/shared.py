@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +13,15 @@ BROADCAST_ROWS = 200_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the cluster's ``spark.checkpoint.dir``; sets one of its own only where none is set."""
+    """Uses the cluster's ``spark.checkpoint.dir``.
+
+    Where none is set, a temporary folder of this machine, but only if Spark runs on this
+    machine alone; elsewhere executors would not see each other's files, so that raises.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weftgraph-"))
     elif not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
