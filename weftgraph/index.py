@@ -14,33 +14,54 @@ from .sources.config import Config
 from .sources.extract import EDGE, NODE, REF, extract
 
 
+#: Updated paths up to which just these files are read; beyond it, the project is scanned.
+FEW_PATHS = 2_000
+
+
 class Index:
-    """All operators over one project's tables; every question returns frames or small Python values."""
+    """All operators over one project's tables; every question returns frames or small Python values.
 
-    def __init__(self, spark: SparkSession, root: str):
+    The tables are kept at ``location``, a folder on any of Hadoop's file systems (by
+    default one in the project).
+    """
+
+    def __init__(self, spark: SparkSession, root: str, location: str | None = None):
         self.spark, self.root = spark, str(Path(root).resolve())
-        self.store, self.config = store.Store(spark, self.root), Config.load(self.root)
+        self.store, self.config = store.Store(spark, self.root, location), Config.load(self.root)
 
     # building
 
     def build(self, force: bool = False) -> dict[str, int]:
         """Scans, extracts what is new or changed, prunes what is gone, resolves all references, ranks and embeds."""
         found = graph.cut(scan.scan(self.spark, self.root, self.config))
-        known = self.store.read("files") if self.store.version() is not None and not force else None
-        changed = tables.changed(found, known) if known is not None else found
+        known = self.store.read("files") if self.store.version() is not None else None
+        changed = tables.changed(found, known) if known is not None and not force else found
         gone = tables.pruned(known, found).select(F.col("path").alias("file_path")) if known is not None else None
         return self._write(graph.cut(changed), gone, full=True)
 
     sync = build
 
-    def apply_changes(self, updated: DataFrame | None = None, removed: DataFrame | None = None, batch: int | None = None) -> dict[str, int]:
-        """Extracts updated paths, drops removed ones, and resolves the references that this concerns. Ranks and vectors wait for the next build."""
-        found = graph.cut(scan.scan(self.spark, self.root, self.config))
-        changed = found.join(updated.select("path"), "path", "left_semi") if updated is not None else found.limit(0)
+    def apply_changes(self, updated: DataFrame | None = None, removed: DataFrame | None = None, batch: int | None = None, stream: str = "") -> dict[str, int]:
+        """Extracts those of the updated paths whose content is new, drops removed ones, and resolves the references that this concerns.
+
+        Ranks and vectors wait for the next build. A batch of a stream that was applied
+        already changes nothing.
+        """
+        if self.store.committed(batch, stream):
+            return {"indexed": 0, "removed": 0} | self.stats()
+        told = [r["path"] for r in updated.limit(FEW_PATHS + 1).collect()] if updated is not None else []
+        if len(told) > FEW_PATHS:
+            found = scan.scan(self.spark, self.root, self.config).join(updated.select("path"), "path", "left_semi")
+        else:
+            found = scan.scan(self.spark, self.root, self.config, told)
+        found = graph.cut(found)
+        changed = graph.cut(tables.changed(found, self.files()) if self.store.version() is not None else found)
         gone = removed.select(F.col("path").alias("file_path")) if removed is not None else None
-        return self._write(graph.cut(changed), gone, full=False, batch=batch)
+        if changed.isEmpty() and (gone is None or gone.isEmpty()):
+            return {"indexed": 0, "removed": 0} | self.stats()
+        return self._write(changed, gone, full=False, batch=batch, stream=stream)
 
-    def _write(self, changed: DataFrame, gone: DataFrame | None, full: bool, batch: int | None = None) -> dict[str, int]:
+    def _write(self, changed: DataFrame, gone: DataFrame | None, full: bool, batch: int | None = None, stream: str = "") -> dict[str, int]:
         rows = graph.cut(extract(changed))
         fresh = {
             "nodes": rows.select(F.explode("nodes").alias("x")).select("x.*").withColumn("rank", F.lit(0.0)),
@@ -53,26 +74,29 @@ class Index:
         files = files.select("path", "language", "content_hash", "size", F.current_timestamp().alias("last_indexed"), F.coalesce("parse_errors", F.lit(0)).alias("parse_errors"), F.coalesce("parse_missing", F.lit(0)).alias("parse_missing"))
         slices = changed.select(F.col("path").alias("file_path")).distinct()
         dropped = slices.unionByName(gone) if gone is not None else slices
+        postings = search.postings(fresh["nodes"])
         if self.store.version() is not None:
+            old = self.store.read("nodes").join(dropped, "file_path", "left_semi").select("id")
+            postings = self.store.read("postings").join(old, "id", "left_anti").unionByName(postings)
             nodes, edges, refs = tables.delete_files(self.store.read("nodes"), self.store.read("edges"), self.store.read("refs").drop("ref_id"), dropped)
             fresh["nodes"], fresh["edges"] = nodes.unionByName(fresh["nodes"]), edges.unionByName(fresh["edges"])
             fresh["refs"] = refs.unionByName(fresh["refs"])
             files = self.store.read("files").join(dropped.withColumnRenamed("file_path", "path"), "path", "left_anti").unionByName(files)
-        order = F.xxhash64("file_path").bitwiseAND(0x7FFFFFFFFFF) * 1_048_576 + F.col("seq")
-        all_refs = fresh["refs"].withColumn("ref_id", order)
+        # A reference is named by its file and its place there; names sort as the files do, and no two are alike.
+        all_refs = fresh["refs"].withColumn("ref_id", F.concat("file_path", F.lit("#"), F.lpad(F.col("seq").cast("string"), 10, "0")))
         nodes, edges = graph.cut(fresh["nodes"]), graph.cut(fresh["edges"])
         all_refs = graph.cut(all_refs)
-        out = {"files": files, "edges": edges, "refs": all_refs}
+        out = {"files": files, "edges": edges, "refs": all_refs, "postings": search.by_term(postings)}
         if full or not self.store.has("derived"):
             derived = graph.cut(resolve.resolve(all_refs, nodes, edges))
             symbols = nodes.filter("kind <> 'file'")
             ranks = graph.pagerank(symbols.select("id"), graph.calls(derived))
             nodes = nodes.drop("rank").join(ranks, "id", "left").withColumn("rank", F.coalesce("rank", F.lit(0.0)))
-            out["embeddings"] = search.embed_nodes(symbols)
+            out["embeddings"] = search.by_dim(search.embed_nodes(symbols))
         else:
             derived = graph.cut(resolve.resolve_incrementally(self.store.read("derived"), all_refs, nodes, edges, dropped))
         out |= {"nodes": nodes, "derived": derived}
-        self.store.commit(out, batch)
+        self.store.commit(out, batch, stream)
         done = {"indexed": changed.count(), "removed": gone.count() if gone is not None else 0}
         return done | self.stats()
 
@@ -88,6 +112,13 @@ class Index:
     def files(self) -> DataFrame:
         return self.store.read("files")
 
+    def postings(self) -> DataFrame:
+        return self.store.read("postings")
+
+    def vectors(self) -> DataFrame:
+        """Vectors of symbols that still are there, as of the last build."""
+        return self.store.read("embeddings").join(self.nodes().select("id"), "id", "left_semi")
+
     def texts(self) -> DataFrame:
         return scan.scan(self.spark, self.root, self.config).select("path", "text")
 
@@ -108,13 +139,16 @@ class Index:
         return tables.lookup(self.nodes(), self.spark.createDataFrame([(name,)], "target_name string"))
 
     def query(self, text: str, kind: str | None = None, limit: int = 20) -> DataFrame:
-        return self.nodes().join(search.smart_search(self.nodes(), text, kind, limit), "id").orderBy("position")
+        return self.nodes().join(search.smart_search(self.nodes(), text, kind, limit, self.postings(), self.vectors()), "id").orderBy("position")
+
+    def full_text(self, text: str, kind: str | None = None, limit: int = 20) -> DataFrame:
+        return search.full_text(self.nodes(), text, kind, limit, postings=self.postings())
 
     def explore(self, text: str) -> dict[str, DataFrame]:
-        return context.explore(self.edges(), self.nodes(), self.texts(), text)
+        return context.explore(self.edges(), self.nodes(), self.texts(), text, self.postings())
 
     def context(self, text: str, budget: int = context.BUDGET) -> DataFrame:
-        return context.pack(self.edges(), self.nodes(), self.texts(), text, budget)
+        return context.pack(self.edges(), self.nodes(), self.texts(), text, budget, self.postings(), self.vectors())
 
     def callers(self, name: str, limit: int = 20) -> DataFrame:
         ids = self.find(name).select(F.col("id").alias("target"))

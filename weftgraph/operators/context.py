@@ -23,9 +23,9 @@ def snippets(nodes: DataFrame, files: DataFrame, most: int) -> DataFrame:
     return have.select("id", numbered.alias("lines"))
 
 
-def explore(edges: DataFrame, nodes: DataFrame, files: DataFrame, query: str) -> dict[str, DataFrame]:
+def explore(edges: DataFrame, nodes: DataFrame, files: DataFrame, query: str, postings: DataFrame | None = None) -> dict[str, DataFrame]:
     """Full-text hits with their best callers, callees and source lines, and the direct callers of all hits."""
-    hits = full_text(nodes, query, limit=HITS)
+    hits = full_text(nodes, query, limit=HITS, postings=postings)
     found = nodes.join(hits, "id")
     who = F.array_sort(F.collect_list(F.struct("position", "other")))
     up = callers(edges.join(found.select(F.col("id").alias("target")), "target", "left_semi"), nodes, NEIGHBOURS).select(F.col("target").alias("id"), F.col("source").alias("other"), "position").groupBy("id").agg(who.alias("callers"))
@@ -71,9 +71,9 @@ def candidates(edges: DataFrame, nodes: DataFrame, seeds: DataFrame) -> DataFram
     return kept.select("id", "priority", "reason", F.row_number().over(Window.orderBy(F.desc("priority"), "i", "part", "k", "id")).alias("position"))
 
 
-def pack(edges: DataFrame, nodes: DataFrame, files: DataFrame, query: str, budget: int = BUDGET) -> DataFrame:
+def pack(edges: DataFrame, nodes: DataFrame, files: DataFrame, query: str, budget: int = BUDGET, postings: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """A query's code within ``budget`` tokens (a token for every 4 bytes, body and header apart, rounded up)."""
-    seeds = smart_search(nodes, query, limit=SEEDS).select("id", "position")
+    seeds = smart_search(nodes, query, limit=SEEDS, postings=postings, vectors=vectors).select("id", "position")
     some = candidates(edges, nodes, seeds).join(nodes, "id")
     some = some.join(snippets(some, files, PACK_LINES), "id", "left")
     body = F.array_join(F.transform(F.coalesce("lines", F.array()), lambda x: x["text"]), "\n")

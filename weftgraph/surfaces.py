@@ -12,7 +12,7 @@ from urllib.parse import parse_qs, unquote, urlparse
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import graph, search
+from .operators import graph
 
 BRIEF = ("id", "kind", "name", "qualified_name", "file_path", "start_line", "end_line")
 
@@ -82,7 +82,7 @@ def cochange_text(index, least: int = 3) -> str:
 ALWAYS = "explore"
 TOOLS: dict[str, tuple[str, dict, Callable]] = {
     "explore": ("Symbols by full text, with source, call paths and blast radius", {"query": "string"}, lambda i, query: explore_text(i, query)),
-    "search": ("Symbols by full text", {"query": "string", "kind": "string", "limit": "integer"}, lambda i, query, kind=None, limit=20: places(brief(i.nodes().join(search.full_text(i.nodes(), query, kind, limit), "id").orderBy("score", "id")))),
+    "search": ("Symbols by full text", {"query": "string", "kind": "string", "limit": "integer"}, lambda i, query, kind=None, limit=20: places(brief(i.nodes().join(i.full_text(query, kind, limit), "id").orderBy("score", "id")))),
     "node": ("Source and callers of a symbol", {"symbol": "string"}, lambda i, symbol: places(brief(i.find(symbol))) + "\ncallers:\n" + places(brief(i.callers(symbol)))),
     "callers": ("What calls a symbol", {"symbol": "string", "limit": "integer"}, lambda i, symbol, limit=20: places(brief(i.callers(symbol, limit)))),
     "callees": ("What a symbol calls", {"symbol": "string", "limit": "integer"}, lambda i, symbol, limit=20: places(brief(i.callees(symbol, limit)))),
