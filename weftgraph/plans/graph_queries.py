@@ -10,14 +10,6 @@ from .projections import frame, oracle
 from .registry import query
 
 
-def _walk_start(nodes):
-    """Parts that the walks start from."""
-    return nodes.filter((F.substring("id", 2, 20).cast("bigint") % 50) == 7).select("id")
-
-
-_START = "CAST(substr(id, 2) AS BIGINT) % 50 = 7"
-
-
 @query(f"""WITH {oracle("supply_edges", "supply_nodes")}
 SELECT target, source, confidence, rank, CAST(position AS INT) AS position FROM (
   SELECT e.target, e.source, e.confidence, n.rank, row_number() OVER (PARTITION BY e.target ORDER BY e.confidence DESC, n.rank DESC, e.source) AS position
@@ -168,7 +160,7 @@ def j10_layer_cycles(spark, sf):
 
 
 _IMPACT = f"""WITH RECURSIVE {oracle("part_edges", "part_nodes")},
-walk AS (SELECT id AS seed, id, 0 AS depth FROM part_nodes WHERE {_START}
+walk AS (SELECT id AS seed, id, 0 AS depth FROM part_nodes
   UNION SELECT w.seed, e.source, w.depth + 1 FROM walk w JOIN part_edges e ON e.target = w.id WHERE w.depth < {{depth}}),
 reach AS (SELECT seed, id, min(depth) AS depth FROM walk GROUP BY seed, id)"""
 
@@ -176,7 +168,7 @@ reach AS (SELECT seed, id, min(depth) AS depth FROM walk GROUP BY seed, id)"""
 @query(_IMPACT.format(depth=5) + " SELECT seed, id, CAST(depth AS INT) AS depth FROM reach WHERE depth > 0")
 def g1_impact(spark, sf):
     nodes = frame(spark, sf, "part_nodes")
-    return graph.impact(frame(spark, sf, "part_edges"), _walk_start(nodes), 5, nodes).select("seed", "id", "depth")
+    return graph.impact(frame(spark, sf, "part_edges"), nodes.select("id"), 5, nodes).select("seed", "id", "depth")
 
 
 _TEST = "kind IN ('function', 'method') AND (signature = 'ECONOMY' OR lower(name) LIKE 'test\\_%' ESCAPE '\\')"
@@ -186,7 +178,7 @@ _TEST = "kind IN ('function', 'method') AND (signature = 'ECONOMY' OR lower(name
 def g7_related_tests(spark, sf):
     nodes = frame(spark, sf, "part_nodes")
     test = F.col("kind").isin("function", "method") & (F.col("signature") == "ECONOMY")
-    return analysis.related_tests(frame(spark, sf, "part_edges"), nodes, _walk_start(nodes), test).select("id", "qualified_name")
+    return analysis.related_tests(frame(spark, sf, "part_edges"), nodes, nodes.select("id"), test).select("id", "qualified_name")
 
 
 @query(f"""WITH RECURSIVE {oracle("part_edges")},
@@ -218,8 +210,7 @@ def _pagerank_sql(rounds: int = 20) -> str:
             f"r{k + 1} AS MATERIALIZED (SELECT i.id, 0.15 / (SELECT count(*) FROM ids) + 0.85 * (coalesce(g.s, 0) + (SELECT coalesce(sum(r), 0) FROM r{k} WHERE id NOT IN (SELECT source FROM deg)) / (SELECT count(*) FROM ids)) AS r "
             f"FROM ids i LEFT JOIN (SELECT e.target, sum(r.r / d.n) AS s FROM part_edges e JOIN r{k} r ON r.id = e.source JOIN deg d ON d.source = e.source GROUP BY e.target) g ON g.target = i.id)"
         )
-    head = oracle("part_edges").replace("part_edges AS (", "part_edges AS MATERIALIZED (")
-    return f"""WITH {head}, ids AS MATERIALIZED (SELECT source AS id FROM part_edges UNION SELECT target FROM part_edges),
+    return f"""WITH {oracle("part_edges")}, ids AS MATERIALIZED (SELECT source AS id FROM part_edges UNION SELECT target FROM part_edges),
 deg AS MATERIALIZED (SELECT source, count(*) AS n FROM part_edges GROUP BY source), {', '.join(steps)}
 SELECT id, round(r / (SELECT max(r) FROM r{rounds}), 6) AS rank FROM r{rounds}"""
 
@@ -265,7 +256,7 @@ def j7_changed_symbols(spark, sf):
 
 @query(f"""WITH RECURSIVE {oracle("hunks", "part_nodes", "part_edges")},
 l AS (SELECT DISTINCT file_path, unnest(range(s, s + greatest(1, coalesce(c, 1)))) AS line FROM (SELECT file_path, CAST(regexp_extract(header, '\\+(\\d+)', 1) AS INT) AS s, TRY_CAST(nullif(regexp_extract(header, '\\+\\d+,(\\d+)', 1), '') AS INT) AS c FROM hunks)),
-t AS (SELECT DISTINCT s.id FROM (SELECT id, 'src/f' || (CAST(substr(id, 2) AS BIGINT) % 50) || '.rs' AS file_path, start_line, end_line FROM part_nodes WHERE start_line % 20 = 0) s JOIN l ON l.file_path = s.file_path AND l.line BETWEEN s.start_line AND s.end_line),
+t AS (SELECT DISTINCT s.id FROM (SELECT id, 'src/f' || (CAST(substr(id, 2) AS BIGINT) % 50) || '.rs' AS file_path, start_line, end_line FROM part_nodes) s JOIN l ON l.file_path = s.file_path AND l.line BETWEEN s.start_line AND s.end_line),
 walk AS (SELECT id AS seed, id, 0 AS depth FROM t UNION SELECT w.seed, e.source, w.depth + 1 FROM walk w JOIN part_edges e ON e.target = w.id WHERE w.depth < 2)
 SELECT seed, id, CAST(min(depth) AS INT) AS depth FROM walk GROUP BY seed, id HAVING min(depth) > 0""")
 def g8_diff_impact(spark, sf):
@@ -273,5 +264,5 @@ def g8_diff_impact(spark, sf):
 
     file = F.concat(F.lit("src/f"), (F.substring("id", 2, 20).cast("bigint") % 50).cast("string"), F.lit(".rs"))
     nodes = frame(spark, sf, "part_nodes")
-    touched = analysis.changed_symbols(nodes.filter("start_line % 20 = 0").withColumn("file_path", file), changed_lines(frame(spark, sf, "hunks")))
+    touched = analysis.changed_symbols(nodes.withColumn("file_path", file), changed_lines(frame(spark, sf, "hunks")))
     return graph.impact(frame(spark, sf, "part_edges"), touched.select("id").distinct(), 2, nodes).select("seed", "id", "depth")

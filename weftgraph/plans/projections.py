@@ -27,12 +27,14 @@ SQL = {
         SELECT 's' || s_suppkey, 'method', s_name, 'SUPPLY::' || s_name,
                'suppliers/n' || s_nationkey || '/supply.rs', 'SUPPLY', round(s_acctbal / 10000, 6), s_nationkey
         FROM {supplier}""",
-    # A part calls the next part of its order, among lines of high discount.
+    # A part calls the two parts that most often follow it in an order.
     "part_edges": """
-        SELECT DISTINCT 'p' || a AS source, 'p' || b AS target, 'calls' AS kind, CAST(1 AS DOUBLE) AS confidence
-        FROM (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS b
-              FROM {lineitem} WHERE l_discount >= 0.09) g
-        WHERE b IS NOT NULL AND a <> b""",
+        SELECT 'p' || a AS source, 'p' || b AS target, 'calls' AS kind, CAST(1 AS DOUBLE) AS confidence
+        FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS k
+              FROM (SELECT a, b, count(*) AS n
+                    FROM (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS b FROM {lineitem}) l
+                    WHERE b IS NOT NULL AND a <> b GROUP BY a, b) c) t
+        WHERE k <= 2""",
     "part_nodes": """
         SELECT 'p' || p_partkey AS id, CASE p_size % 5 WHEN 0 THEN 'struct' WHEN 1 THEN 'class' WHEN 2 THEN 'method' ELSE 'function' END AS kind,
                p_name || ' ' || CAST(p_size % 10 AS STRING) AS name, p_brand || '::' || p_name || '::' || p_partkey AS qualified_name,
@@ -70,7 +72,7 @@ SQL = {
     "hunks": """
         SELECT o_orderkey AS hunk, 'src/f' || (o_custkey % 50) || '.rs' AS file_path,
                '@@ -' || (o_custkey % 300 + 1) || ',2 +' || (o_custkey % 400 + 1) || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE ',' || (o_orderkey % 6) END || ' @@ fn x' AS header
-        FROM {orders} WHERE o_orderkey % 10 = 0""",
+        FROM {orders}""",
 }
 
 
@@ -82,4 +84,4 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def oracle(*names: str) -> str:
     """The projections as a list of common table expressions for the oracle."""
-    return ",\n".join(f"{n} AS ({re.sub(r'{(\w+)}', r'\1', SQL[n])})" for n in names)
+    return ",\n".join(f"{n} AS MATERIALIZED ({re.sub(r'{(\w+)}', r'\1', SQL[n])})" for n in names)

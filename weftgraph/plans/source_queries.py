@@ -51,32 +51,36 @@ def s3_ignored(spark, sf):
     return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", paths.ignored(path).alias("ignored"))
 
 
-@query(r"""SELECT page_id, CAST(0 AS INT) AS block, regexp_extract(html, '(?is)<script[^>]*>(.*?)</script>', 1) AS body FROM pages WHERE regexp_matches(html, '(?is)<script[^>]*>.*?</script>')""")
+@query(r"""SELECT page_id, CAST(unnest(range(len(bodies))) AS INT) AS block, unnest(bodies) AS body FROM (SELECT page_id, regexp_extract_all(html, '(?is)<script[^>]*>(.*?)</script>', 1) AS bodies FROM pages)""")
 def e14_script_blocks(spark, sf):
-    return web.script_blocks(spark.read.parquet(f"{sf}/pages.parquet")).filter("block = 0").select("page_id", "block", "body")
+    return web.script_blocks(spark.read.parquet(f"{sf}/pages.parquet")).select("page_id", "block", "body")
 
 
 @query(r"""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?i)href="([^"]*)"', 1)) AS link FROM pages)
 SELECT DISTINCT page_id, CASE WHEN regexp_matches(link, '^[a-z]+://') THEN link WHEN link LIKE '/%' THEN regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || link ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') || link END AS target FROM l""")
-def e17_links(spark, sf):
+def page_links(spark, sf):
     return web.links(spark.read.parquet(f"{sf}/pages.parquet"))
 
 
-@query(f"""WITH {oracle("supply_edges")} SELECT '{{"source":"' || source || '","target":"' || target || '","kind":"calls"}}' AS line FROM supply_edges""")
+@query(f"""WITH {oracle("supply_edges", "part_nodes")}
+SELECT to_json({{'id': id, 'kind': kind, 'name': name, 'qualified_name': qualified_name, 'file_path': file_path, 'language': language, 'start_line': start_line, 'end_line': end_line, 'signature': signature, 'docstring': docstring, 'is_exported': is_exported}})::VARCHAR AS line FROM part_nodes
+UNION ALL SELECT to_json({{'source': source, 'target': target, 'kind': kind}})::VARCHAR FROM supply_edges""")
 def k13_export_json(spark, sf):
-    return export.json_lines(frame(spark, sf, "supply_edges"), export.EDGE_COLUMNS)
+    nodes = frame(spark, sf, "part_nodes")
+    columns = tuple(c for c in export.NODE_COLUMNS if c in nodes.columns)
+    return export.json_lines(nodes, columns).unionByName(export.json_lines(frame(spark, sf, "supply_edges"), export.EDGE_COLUMNS))
 
 
-@query(f"""WITH {oracle("part_nodes")} SELECT '  "' || id || '" [label="' || kind || ' ' || replace(replace(name, '\\', '\\\\'), '"', '\\"') || '"];' AS line FROM (SELECT id, kind, name || ' "q" \\ z' AS name FROM part_nodes)""")
+@query(f"""WITH {oracle("part_nodes", "part_edges")} SELECT '  "' || id || '" [label="' || kind || ' ' || replace(replace(name, '\\', '\\\\'), '"', '\\"') || '"];' AS line FROM (SELECT id, kind, name || ' "q" \\ z' AS name FROM part_nodes)
+UNION ALL SELECT '  "' || source || '" -> "' || target || '" [label="calls"];' FROM part_edges""")
 def k14_export_dot(spark, sf):
     nodes = frame(spark, sf, "part_nodes").withColumn("name", F.concat("name", F.lit(' "q" \\ z')))
-    return export.dot_lines(nodes, nodes.select(F.col("id").alias("source"), F.col("id").alias("target"), "kind").limit(0))
+    return export.dot_lines(nodes, frame(spark, sf, "part_edges"))
 
 
-@query("""SELECT doc_id || ',' || source || ',' || CASE WHEN contains(t, ',') OR contains(t, '"') OR contains(t, chr(10)) THEN '"' || replace(t, '"', '""') || '"' ELSE t END AS line FROM (SELECT doc_id, source, substr(text, 1, 60) || '"x' AS t FROM documents)""")
+@query("""SELECT doc_id || ',' || source || ',' || CASE WHEN contains(t, ',') OR contains(t, '"') OR contains(t, chr(10)) OR contains(t, chr(13)) THEN '"' || replace(t, '"', '""') || '"' ELSE t END AS line FROM (SELECT doc_id, source, coalesce(text, '') AS t FROM documents)""")
 def k15_export_csv(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", F.concat(F.substring("text", 1, 60), F.lit('"x')).alias("t"))
-    return export.csv_lines(docs, ("doc_id", "source", "t"))
+    return export.csv_lines(spark.read.parquet(f"{sf}/documents.parquet"), ("doc_id", "source", "text"))
 
 
 @query()
