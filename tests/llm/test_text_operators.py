@@ -63,15 +63,32 @@ def test_token_counts_equal_the_library(spark, odd):
         assert all(g[3] == (g[2] > 1024) for g in got)
 
 
-def test_token_counts_with_a_small_cache(spark, odd, monkeypatch):
+@pytest.mark.parametrize("words", [0, 1, 40, 400])
+def test_token_counts_by_a_shuffle_of_rare_words(spark, odd, monkeypatch, words):
     path = public_tokenizers.path("byte_bpe_50k.json")
-    monkeypatch.setattr(pretokens, "CACHE_ENTRIES", 2)
-    monkeypatch.setattr(token_counts, "SLICE_CHARS", 50)
-    common._state.clear()
-    texts = [t or "" for _, t, *_ in ODD] * 2
+    monkeypatch.setattr(token_counts, "BROADCAST_WORDS", words)
     tok = pretokens.Pieces(path).tokenizer
-    assert token_counts.count_texts(texts, path) == [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
+    df = odd.select("doc_id", "text").unionByName(table(spark, SF, "documents").limit(60).select("doc_id", "text"))
+    got = sorted((tuple(r)[:3] for r in token_counts.token_counts(df, path).collect()), key=str)
+    assert got == sorted(((d, len((t or "").encode()), len(tok.encode(t or "", add_special_tokens=False).ids)) for d, t in rows(df)), key=str)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_each_distinct_pretoken_is_counted_once(spark, name):
+    """Any text is its pre-tokens, also where the library has to split it, and their numbers of pieces sum up to its tokens."""
+    path = public_tokenizers.path(name)
+    tok = pretokens.Pieces(path)
+    for text in [t or "" for _, t, *_ in ODD] + ["\u1c89\ua7cb \U000105c0\U00011380 x", "ΣΑΣ ΣΑς \u0130\u0307 e\u0301\u0301 \u1100\u1161\u11a8", "\U0001f468\u200d\U0001f469\u200d\U0001f467 \U0001f1e9\U0001f1ea ١٢٣ שלום ไทย हिन्दी"]:
+        freq, special = token_counts.frequencies(text, path)
+        numbers = dict(zip(freq, tok.numbers(list(freq))))
+        assert special + sum(freq[w] * numbers[w] for w in freq) == len(tok.whole(text)), text[:40]
     common._state.clear()
+    before = []
+    docs = table(spark, SF, "documents").select("doc_id", "text")
+    token_counts.token_counts(docs.unionByName(docs), path).collect()
+    before = [p for p in common._written[(spark.sparkContext.applicationId, "queries")] if "/pieces-" in p][-1]
+    pieces = spark.read.parquet(before)
+    assert pieces.count() == pieces.select("word").distinct().count() > 100
 
 
 def check_packing(df, got):

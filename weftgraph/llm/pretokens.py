@@ -2,7 +2,7 @@
 
 The fast splitter is used only for texts all of whose characters lie in ranges where the
 pattern engine here and the tokenizer library's own agree (see ``SAFE``, which a test
-checks code point by code point); any other text goes through the library whole.
+checks code point by code point); any other text is split by the library.
 """
 
 from __future__ import annotations
@@ -19,10 +19,11 @@ import regex
 from .common import worker_state
 
 # The pre-token patterns of the two tokenizer files, and ranges of characters
-# that every Unicode version in use classifies alike and whose lower case is among them.
+# that every Unicode version in use classifies alike and whose lower case is among them: all of the
+# basic plane but letters that are new there or stand for ones beyond it, and the pictographs.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_END = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-SAFE = "\u0000-\u012f\u0131-\u0239\u0250-\u02ff\u0400-\u052f\u1e00-\u1eff\u2000-\u2070\u20a0-\u20bf\u2190-\u2bff\u3000-\u3096\u30a0-\u30fe\u4e00-\u9fef\uac00-\ud7a3"
+SAFE = "\u0000-\u1c88\u1c8b-\ua7ca\ua7dd-\ud7ff\ue000-\uf9ff\ufb00-\uffff\U0001f300-\U0001faff"
 
 _unsafe = re.compile(f"[^{SAFE}]")
 
@@ -42,7 +43,7 @@ def _char_class(member) -> str:
                     ranges[-1][1] = cp
                 else:
                     ranges.append([cp, cp])
-    return "".join(f"\\u{low:04x}-\\u{high:04x}" for low, high in ranges)
+    return "".join(f"\\U{low:08x}-\\U{high:08x}" for low, high in ranges)
 
 
 @functools.cache
@@ -68,6 +69,16 @@ KINDS = {
 }
 
 
+def _byte_alphabet() -> dict[str, int]:
+    """The byte that each character of a byte-level pre-token stands for: printable ones themselves, the others those from U+0100 on, in order."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+_BYTE_OF = _byte_alphabet()
+
+
 class Pieces:
     """One tokenizer file in one worker process."""
 
@@ -99,6 +110,23 @@ class Pieces:
     def fast(self, text: str) -> bool:
         return self.kind != "other" and self.plain_special and not _unsafe.search(text)
 
+    def pretokens(self, segment: str) -> list[str]:
+        """Pre-tokens of any stretch without special strings: by the fast splitter, or by the library for characters that it may split otherwise."""
+        if self.kind != "other" and not _unsafe.search(segment):
+            return self.split(segment)
+        if self.tokenizer.normalizer:
+            segment = self.tokenizer.normalizer.normalize_str(segment)
+        if not self.tokenizer.pre_tokenizer:
+            return [segment] if segment else []
+        found = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(segment)]
+        return found if self.kind == "other" else [bytes(map(_BYTE_OF.__getitem__, p)).decode() for p in found]
+
+    def numbers(self, pretokens: list[str]) -> list[int]:
+        """Pieces of each pre-token."""
+        if self.kind == "other":
+            return [len(self.tokenizer.model.tokenize(p)) for p in pretokens]
+        return [len(e) for at in range(0, len(pretokens), 4096) for e in self.bare.encode_batch_fast(pretokens[at : at + 4096], add_special_tokens=False)]
+
     def split(self, segment: str) -> list[str]:
         """Pre-tokens of a stretch without special strings and of safe characters."""
         if self.kind == "word":
