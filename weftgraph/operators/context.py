@@ -37,10 +37,12 @@ def explore(edges: DataFrame, nodes: DataFrame, files: DataFrame, query: str, po
     return {"symbols": symbols, "blast_radius": blast}
 
 
-def pack_greedily(items: DataFrame, budget: int) -> DataFrame:
+def pack_greedily(items: DataFrame, budget: int, *by: str) -> DataFrame:
     """Items in the order of ``position`` that fit: the first always, later ones if they fit, until the budget is used.
 
-    The walk is a fold over one sorted array of a few hundred rows at most (``id, position, tokens``).
+    ``items`` has ``id, position, tokens``, and the columns ``by`` of which each value has a
+    budget of its own. The walk is a fold over one sorted array for each, so it is for
+    lists of candidates, not for whole corpora.
     """
     entry = F.array_sort(F.collect_list(F.struct("position", "id", F.col("tokens").cast("bigint").alias("tokens"))))
     empty = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<struct<position:int,id:string,tokens:bigint>>").alias("taken"))
@@ -52,8 +54,8 @@ def pack_greedily(items: DataFrame, budget: int) -> DataFrame:
             F.when(fits, F.concat(state["taken"], F.array(F.struct(x["position"].cast("int").alias("position"), x["id"].alias("id"), x["tokens"].alias("tokens"))))).otherwise(state["taken"]).alias("taken"),
         )
 
-    folded = items.agg(F.aggregate(entry, empty, step).alias("s"))
-    return folded.select(F.explode("s.taken").alias("x")).select("x.id", "x.position", "x.tokens")
+    folded = items.groupBy(*by).agg(F.aggregate(entry, empty, step).alias("s"))
+    return folded.select(*by, F.explode("s.taken").alias("x")).select("x.id", *by, "x.position", "x.tokens")
 
 
 def candidates(edges: DataFrame, nodes: DataFrame, seeds: DataFrame) -> DataFrame:

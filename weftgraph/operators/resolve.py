@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.text import ascii_lower
 from .graph import base_type_names, container_of
+from .shared import cut
 
 # Node kinds that an edge kind may lead to (other edge kinds lead anywhere), and the confidence of each tier.
 TARGET_KINDS = {
@@ -16,6 +19,7 @@ TARGET_KINDS = {
     "implements": ("trait", "interface", "protocol"),
     "instantiates": ("class", "struct", "interface", "enum"),
 }
+OTHER = "other"
 TIERS = {"typed": 0.98, "only": 1.00, "same_type": 0.97, "inherited": 0.85, "same_file": 0.90, "import_one": 0.80, "import_some": 0.60, "any": 0.40}
 
 
@@ -51,63 +55,96 @@ def import_segments(refs: DataFrame) -> DataFrame:
     return refs.filter(F.col("kind") == "imports").select("file_path", F.explode(F.split(ascii_lower(F.col("target_name")), r"[^\p{L}\p{N}_]+")).alias("segment")).filter("segment <> ''").distinct()
 
 
+def _entries(nodes: DataFrame) -> DataFrame:
+    """A row per node, name it goes by, and class of edges that may lead to it: what a reference's name and class select."""
+    classes = F.filter(F.array(F.lit(OTHER), *[F.when(F.col("kind").isin(*allowed), F.lit(kind)) for kind, allowed in TARGET_KINDS.items()]), lambda c: c.isNotNull())
+    names = F.filter(F.array_distinct(F.array("name", "qualified_name")), lambda n: n.isNotNull())
+    return nodes.withColumn("name_key", F.explode(names)).withColumn("class", F.explode(classes))
+
+
+def edge_class(kind: Column) -> Column:
+    """Edge kinds that may lead to the same node kinds are of one class."""
+    return F.when(kind.isin(*TARGET_KINDS), kind).otherwise(F.lit(OTHER))
+
+
 def resolve(refs: DataFrame, nodes: DataFrame, edges: DataFrame, all_refs: DataFrame | None = None) -> DataFrame:
     """``source, target, kind, confidence, tier`` of every reference that finds a node.
 
     ``refs`` has ``ref_id, source_node_id, target_name, kind, file_path, receiver_hint``;
     ``edges`` the contains edges; ``all_refs`` the references that imports and bases are read
-    from (``refs`` itself, if not given). Every candidate gets flags by joins; counts of the
-    flags over a reference choose its tier, in this order: the hinted type (an
-    authoritative hint ``!T`` that matches nothing drops the reference), a single
-    candidate, the caller's own type, a base of it, the same file, files that the imports
-    name, all. An edge keeps the confidence of its last reference.
+    from (``refs`` itself, if not given). The tier of a reference is the first of these that
+    holds: the hinted type (an authoritative hint ``!T`` that matches nothing drops the
+    reference), a single candidate, the caller's own type, a base of it, the same file,
+    files that the imports name, all. An edge keeps the confidence of its last reference.
+
+    References never meet all nodes of a common name to find that out. Candidates are
+    counted by name, and by name and container, file or file stem; a reference's tier is
+    read from these counts by equi-joins on such narrow keys, and only the candidates of
+    the tier are then joined, on the same keys. References alike in all that decides (a
+    caller that calls one name often) are one row from the start, by partial aggregates.
     """
     told = all_refs if all_refs is not None else refs
-    # What depends on one side alone is joined to that side, before references meet their candidates.
     containers = container_of(edges, nodes).join(nodes.select(F.col("id").alias("container"), F.col("name").alias("container_name")), "container")
-    targets = nodes.join(containers.select(F.col("target").alias("id"), F.col("container").alias("c_type"), F.col("container_name").alias("c_name")), "id", "left").withColumn("stem", ascii_lower(paths.stem(F.col("file_path"))))
-    sources = refs.join(containers.select(F.col("target").alias("source_node_id"), F.col("container").alias("s_type"), F.col("container_name").alias("s_name")), "source_node_id", "left")
-    sources = sources.join(base_type_names(told).select(F.col("source").alias("s_type"), "bases"), "s_type", "left")
-    found = candidates(sources, targets, "c_type", "c_name", "stem")
-    imported = import_segments(told).select("file_path", F.col("segment").alias("stem"), F.lit(True).alias("named"))
-    found = found.join(imported, ["file_path", "stem"], "left")
+    targets = nodes.select("id", "kind", "name", "qualified_name", "file_path").join(containers.select(F.col("target").alias("id"), F.col("container").alias("c_type"), F.col("container_name").alias("c_name")), "id", "left")
+    entries = _entries(targets).select("name_key", "class", F.col("id").alias("candidate"), "c_type", "c_name", type_token(F.col("c_name")).alias("c_token"), F.col("file_path").alias("c_file"), ascii_lower(paths.stem(F.col("file_path"))).alias("stem"))
+    entries = cut(entries)
 
+    some = refs.groupBy("source_node_id", "target_name", "kind", "file_path", "receiver_hint").agg(F.max("ref_id").alias("ref_id"))
+    some = some.join(containers.select(F.col("target").alias("source_node_id"), F.col("container").alias("s_type"), F.col("container_name").alias("s_name")), "source_node_id", "left")
     hint = F.regexp_replace("receiver_hint", "^!", "")
     want = F.when(hint == "Self", type_token(F.col("s_name"))).otherwise(hint)
-    is_call = F.col("kind") == "calls"
-    flags = {
-        "typed": want.isNotNull() & (type_token(F.col("c_name")) == want),
-        "same_type": is_call & F.col("s_type").isNotNull() & (F.col("c_type") == F.col("s_type")),
-        "inherited": is_call & F.array_contains("bases", F.col("c_name")),
-        "same_file": F.col("candidate_file") == F.col("file_path"),
-        "named": F.col("named"),
+    some = some.select("ref_id", "source_node_id", F.col("target_name").alias("name_key"), "kind", edge_class(F.col("kind")).alias("class"), F.col("file_path").alias("c_file"), want.alias("c_token"), F.when(F.col("kind") == "calls", F.col("s_type")).alias("c_type"), F.startswith("receiver_hint", F.lit("!")).alias("authoritative"))
+
+    key = ["name_key", "class"]
+    counts = {
+        "n_all": (key, F.count(F.lit(1))),
+        "n_typed": ([*key, "c_token"], F.count(F.lit(1))),
+        "n_same_type": ([*key, "c_type"], F.count(F.lit(1))),
+        "n_same_file": ([*key, "c_file"], F.count(F.lit(1))),
     }
-    found = found.select("ref_id", "source_node_id", "candidate", "kind", "receiver_hint", want.alias("want"), *[F.coalesce(flag, F.lit(False)).alias(f"is_{name}") for name, flag in flags.items()])
-    of_ref = Window.partitionBy("ref_id")
-    found = found.withColumn("n_all", F.count(F.lit(1)).over(of_ref))
-    for name in flags:
-        found = found.withColumn(f"n_{name}", F.count_if(F.col(f"is_{name}")).over(of_ref))
-    dropped = F.startswith("receiver_hint", F.lit("!")) & F.col("want").isNotNull()
-    tier = (
+    for name, (by, count) in counts.items():
+        some = some.join(entries.groupBy(*by).agg(count.alias(name)), by, "inner" if name == "n_all" else "left")
+    first = (
         F.when(F.col("n_typed") > 0, "typed")
-        .when(dropped, None)
+        .when(F.col("authoritative") & F.col("c_token").isNotNull(), "none")
         .when(F.col("n_all") == 1, "only")
         .when(F.col("n_same_type") > 0, "same_type")
-        .when(F.col("n_inherited") > 0, "inherited")
+    )
+    some = cut(some.withColumn("tier", first).filter("tier IS NULL OR tier <> 'none'").drop("n_typed", "n_same_type", "authoritative"))
+
+    # What needs a list on the reference's side (bases of its type, imports of its file) is asked only where no tier holds yet.
+    bases = base_type_names(told).select(F.col("source").alias("c_type"), F.explode("bases").alias("c_name"))
+    imported = import_segments(told).select(F.col("file_path").alias("c_file"), F.col("segment").alias("stem"))
+    of_ref = ["source_node_id", "name_key", "kind", "ref_id"]
+    open_refs = some.filter("tier IS NULL")
+    inherited = open_refs.join(bases, "c_type").join(entries.select(*key, "c_name").distinct(), [*key, "c_name"], "left_semi").select(*of_ref).distinct().withColumn("inherits", F.lit(True))
+    stems = entries.groupBy(*key, "stem").agg(F.count(F.lit(1)).alias("n"))
+    named = open_refs.filter("n_same_file IS NULL").join(imported, "c_file").join(stems, [*key, "stem"]).groupBy(*of_ref).agg(F.sum("n").alias("n_named"))
+    open_refs = open_refs.join(inherited, of_ref, "left").join(named, of_ref, "left")
+    then = (
+        F.when(F.col("inherits"), "inherited")
         .when(F.col("n_same_file") > 0, "same_file")
         .when(F.col("n_named") == 1, "import_one")
-        .when((F.col("n_named") > 1) & (F.col("n_named") < F.col("n_all")), "import_some")
+        .when(F.col("n_named") < F.col("n_all"), "import_some")
         .otherwise("any")
     )
-    found = found.withColumn("tier", tier)
-    chosen = F.lit(False)
-    for name, flag in {"typed": "typed", "same_type": "same_type", "inherited": "inherited", "same_file": "same_file", "import_one": "named", "import_some": "named"}.items():
-        chosen = chosen | ((F.col("tier") == name) & F.col(f"is_{flag}"))
-    chosen = chosen | F.col("tier").isin("only", "any")
+    plain = [*of_ref, "class", "c_file", "c_token", "c_type", "tier"]
+    decided = cut(some.filter("tier IS NOT NULL").select(*plain).unionByName(open_refs.withColumn("tier", then).select(*plain)))
+
+    of = lambda *tiers: decided.filter(F.col("tier").isin(*tiers))
+    imports = of("import_one", "import_some")
+    joined = [
+        of("typed").join(entries.select(*key, "c_token", "candidate"), [*key, "c_token"]),
+        of("only", "any").join(entries.select(*key, "candidate"), key),
+        of("same_type").join(entries.select(*key, "c_type", "candidate"), [*key, "c_type"]),
+        of("inherited").join(bases, "c_type").join(entries.select(*key, "c_name", "candidate"), [*key, "c_name"]),
+        of("same_file").join(entries.select(*key, "c_file", "candidate"), [*key, "c_file"]),
+        imports.join(imported, "c_file").join(entries.select(*key, "stem", "candidate"), [*key, "stem"]),
+    ]
+    found = functools.reduce(DataFrame.unionByName, [df.select(F.col("source_node_id").alias("source"), F.col("candidate").alias("target"), "kind", "ref_id", "tier") for df in joined])
     confidence = F.coalesce(*[F.when(F.col("tier") == name, F.lit(x)) for name, x in TIERS.items()])
-    kept = found.filter(chosen).select(F.col("source_node_id").alias("source"), F.col("candidate").alias("target"), "kind", "ref_id", confidence.alias("confidence"), "tier")
-    last = F.max_by(F.struct("confidence", "tier"), "ref_id").alias("x")
-    return kept.groupBy("source", "target", "kind").agg(last).select("source", "target", "kind", F.col("x.confidence").alias("confidence"), F.col("x.tier").alias("tier"))
+    last = found.groupBy("source", "target", "kind").agg(F.max_by("tier", "ref_id").alias("tier"))
+    return last.select("source", "target", "kind", confidence.alias("confidence"), "tier")
 
 
 def affected_refs(refs: DataFrame, nodes: DataFrame, changed_files: DataFrame) -> DataFrame:

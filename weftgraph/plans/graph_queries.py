@@ -54,29 +54,35 @@ def j6_name_or_qualified(spark, sf):
     return resolve.candidates(frame(spark, sf, "refs"), frame(spark, sf, "part_nodes")).select("ref_id", "candidate", "node_kind")
 
 
-_RESOLVE_SQL = f"""WITH {oracle("refs", "base_refs", "part_nodes", "brand_nodes", "contains_edges")},
-all_refs AS (SELECT * FROM refs UNION ALL SELECT * FROM base_refs),
-nodes AS (SELECT id, kind, name, qualified_name, file_path FROM part_nodes UNION ALL SELECT id, kind, name, qualified_name, file_path FROM brand_nodes),
-cont AS (SELECT e.target, min(b.id) AS container, min(b.name) AS cname FROM contains_edges e JOIN brand_nodes b ON b.id = e.source GROUP BY e.target),
-bases AS (SELECT source_node_id AS s, list(DISTINCT target_name) AS bases FROM all_refs WHERE kind IN ('extends','implements') GROUP BY 1),
-seg AS (SELECT DISTINCT file_path, unnest(regexp_split_to_array(lower(target_name), '[^a-z0-9_]+')) AS stem FROM all_refs WHERE kind = 'imports'),
-f AS (SELECT r.ref_id, r.source_node_id, r.kind, r.receiver_hint, n.id AS cand,
+def _resolved_ctes(refs: str = "all_refs", nodes: str = "nodes", tag: str = "") -> str:
+    """Tables that end in ``k``: every chosen candidate of every reference with its tier."""
+    return f"""cont{tag} AS (SELECT e.target, min(b.id) AS container, min(b.name) AS cname FROM contains_edges e JOIN brand_nodes b ON b.id = e.source GROUP BY e.target),
+bases{tag} AS (SELECT source_node_id AS s, list(DISTINCT target_name) AS bases FROM all_refs WHERE kind IN ('extends','implements') GROUP BY 1),
+seg{tag} AS (SELECT DISTINCT file_path, unnest(regexp_split_to_array(lower(target_name), '[^a-z0-9_]+')) AS stem FROM all_refs WHERE kind = 'imports'),
+f{tag} AS (SELECT r.ref_id, r.source_node_id, r.kind, r.receiver_hint, n.id AS cand,
         CASE WHEN replace(r.receiver_hint, '!', '') = 'Self' THEN sc.cname ELSE replace(r.receiver_hint, '!', '') END AS want,
         cc.cname AS cname, r.kind = 'calls' AND sc.container IS NOT NULL AND cc.container = sc.container AS f_same,
         r.kind = 'calls' AND list_contains(bs.bases, cc.cname) AS f_inh, n.file_path = r.file_path AS f_file, seg.stem IS NOT NULL AS f_named
-      FROM all_refs r JOIN nodes n ON (n.name = r.target_name OR n.qualified_name = r.target_name)
-      LEFT JOIN cont cc ON cc.target = n.id LEFT JOIN cont sc ON sc.target = r.source_node_id LEFT JOIN bases bs ON bs.s = sc.container
-      LEFT JOIN seg ON seg.file_path = r.file_path AND seg.stem = regexp_replace(regexp_extract(n.file_path, '[^/]*$'), '\\.[^.]*$', '')
+      FROM {refs} r JOIN {nodes} n ON (n.name = r.target_name OR n.qualified_name = r.target_name)
+      LEFT JOIN cont{tag} cc ON cc.target = n.id LEFT JOIN cont{tag} sc ON sc.target = r.source_node_id LEFT JOIN bases{tag} bs ON bs.s = sc.container
+      LEFT JOIN seg{tag} seg ON seg.file_path = r.file_path AND seg.stem = regexp_replace(regexp_extract(n.file_path, '[^/]*$'), '\\.[^.]*$', '')
       WHERE {_COMPATIBLE}),
-c AS (SELECT *, coalesce(want IS NOT NULL AND cname = want, false) AS f_typed FROM f),
-w AS (SELECT *, count(*) OVER p AS n_all, count(*) FILTER (WHERE f_typed) OVER p AS n_typed, count(*) FILTER (WHERE f_same) OVER p AS n_same,
+c{tag} AS (SELECT *, coalesce(want IS NOT NULL AND cname = want, false) AS f_typed FROM f{tag}),
+w{tag} AS (SELECT *, count(*) OVER p AS n_all, count(*) FILTER (WHERE f_typed) OVER p AS n_typed, count(*) FILTER (WHERE f_same) OVER p AS n_same,
         count(*) FILTER (WHERE f_inh) OVER p AS n_inh, count(*) FILTER (WHERE f_file) OVER p AS n_file, count(*) FILTER (WHERE f_named) OVER p AS n_named
-      FROM c WINDOW p AS (PARTITION BY ref_id)),
-t AS (SELECT *, CASE WHEN n_typed > 0 THEN 'typed' WHEN receiver_hint LIKE '!%' AND want IS NOT NULL THEN NULL WHEN n_all = 1 THEN 'only' WHEN n_same > 0 THEN 'same_type'
-        WHEN n_inh > 0 THEN 'inherited' WHEN n_file > 0 THEN 'same_file' WHEN n_named = 1 THEN 'import_one' WHEN n_named > 1 AND n_named < n_all THEN 'import_some' ELSE 'any' END AS tier FROM w),
-k AS (SELECT * FROM t WHERE CASE tier WHEN 'typed' THEN f_typed WHEN 'only' THEN true WHEN 'same_type' THEN coalesce(f_same, false) WHEN 'inherited' THEN coalesce(f_inh, false)
+      FROM c{tag} WINDOW p AS (PARTITION BY ref_id)),
+t{tag} AS (SELECT *, CASE WHEN n_typed > 0 THEN 'typed' WHEN receiver_hint LIKE '!%' AND want IS NOT NULL THEN NULL WHEN n_all = 1 THEN 'only' WHEN n_same > 0 THEN 'same_type'
+        WHEN n_inh > 0 THEN 'inherited' WHEN n_file > 0 THEN 'same_file' WHEN n_named = 1 THEN 'import_one' WHEN n_named > 1 AND n_named < n_all THEN 'import_some' ELSE 'any' END AS tier FROM w{tag}),
+k{tag} AS (SELECT * FROM t{tag} WHERE CASE tier WHEN 'typed' THEN f_typed WHEN 'only' THEN true WHEN 'same_type' THEN coalesce(f_same, false) WHEN 'inherited' THEN coalesce(f_inh, false)
         WHEN 'same_file' THEN f_file WHEN 'import_one' THEN f_named WHEN 'import_some' THEN f_named WHEN 'any' THEN true ELSE false END)
 """
+
+
+_CODE_SQL = f"""WITH {oracle("refs", "base_refs", "part_nodes", "brand_nodes", "contains_edges")},
+all_refs AS (SELECT * FROM refs UNION ALL SELECT * FROM base_refs),
+nodes AS (SELECT id, kind, name, qualified_name, file_path FROM part_nodes UNION ALL SELECT id, kind, name, qualified_name, file_path FROM brand_nodes),
+"""
+_RESOLVE_SQL = _CODE_SQL + _resolved_ctes()
 _CONFIDENCE = "CASE tier WHEN 'typed' THEN 0.98 WHEN 'only' THEN 1.0 WHEN 'same_type' THEN 0.97 WHEN 'inherited' THEN 0.85 WHEN 'same_file' THEN 0.9 WHEN 'import_one' THEN 0.8 WHEN 'import_some' THEN 0.6 ELSE 0.4 END"
 
 
@@ -108,6 +114,33 @@ def r3_affected_refs(spark, sf):
     return resolve.affected_refs(frame(spark, sf, "refs"), nodes, changed).select("ref_id", "source_node_id", "target_name", "kind")
 
 
+_EDGES_OF = "SELECT source_node_id AS source, cand AS target, kind, CAST(arg_max({confidence}, ref_id) AS DOUBLE) AS confidence, arg_max(tier, ref_id) AS tier FROM k{tag} GROUP BY source_node_id, cand, kind"
+
+
+@query(
+    _CODE_SQL
+    + f"""old AS (SELECT id, kind, CASE WHEN file_path LIKE '%brand_1%' THEN name || ' old' ELSE name END AS name, qualified_name, file_path FROM nodes),
+{_resolved_ctes(nodes="old", tag="_b")},
+before AS ({_EDGES_OF.format(confidence=_CONFIDENCE, tag="_b")}),
+changed AS (SELECT DISTINCT file_path FROM nodes WHERE file_path LIKE '%brand_1%'),
+names AS (SELECT name AS x FROM nodes JOIN changed USING (file_path) UNION SELECT qualified_name FROM nodes JOIN changed USING (file_path)),
+u AS (SELECT 0 AS first, r.* FROM all_refs r JOIN changed USING (file_path) UNION ALL SELECT 1, r.* FROM all_refs r WHERE target_name IN (SELECT x FROM names)),
+again AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY source_node_id, target_name, kind ORDER BY first, ref_id) = 1),
+{_resolved_ctes(refs="again", tag="_a")},
+live AS (SELECT id FROM nodes WHERE file_path NOT IN (SELECT file_path FROM changed)),
+stale AS (SELECT DISTINCT r.source_node_id AS source, n.id AS target, r.kind FROM again r JOIN nodes n ON n.name = r.target_name OR n.qualified_name = r.target_name)
+SELECT before.* FROM before ANTI JOIN stale USING (source, target, kind) WHERE source IN (SELECT id FROM live) AND target IN (SELECT id FROM live)
+UNION ALL {_EDGES_OF.format(confidence=_CONFIDENCE, tag="_a")}"""
+)
+def st3_incremental_resolve(spark, sf):
+    """Symbols of some files get their names back: the edges that this concerns are resolved anew, the others stay."""
+    refs, nodes, contains = frame(spark, sf, "refs").unionByName(frame(spark, sf, "base_refs")), _code(spark, sf), frame(spark, sf, "contains_edges")
+    touched = F.contains("file_path", F.lit("brand_1"))
+    old = nodes.withColumn("name", F.when(touched, F.concat("name", F.lit(" old"))).otherwise(F.col("name")))
+    before = resolve.resolve(refs, old, contains)
+    return resolve.resolve_incrementally(before, refs, nodes, contains, nodes.filter(touched).select("file_path").distinct()).select("source", "target", "kind", F.col("confidence").cast("double").alias("confidence"), "tier")
+
+
 @query(f"""WITH {oracle("supply_edges", "supply_nodes")}, top AS (SELECT * FROM supply_nodes ORDER BY rank DESC, id LIMIT 150)
 SELECT e.source, e.target, e.confidence FROM supply_edges e WHERE source IN (SELECT id FROM top) AND target IN (SELECT id FROM top)""")
 def j8_subgraph(spark, sf):

@@ -130,26 +130,63 @@ def q10_smart_search(spark, sf):
     return search.smart_search(frame(spark, sf, "part_nodes"), "blue widgt economi", limit=10).withColumn("score", F.round("score", 9)).select("id", "score", "position")
 
 
-@query()
+_TERMS = """d AS (SELECT id, rank, list_filter(regexp_split_to_array(lower(concat_ws(' ', name, qualified_name, signature, docstring)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM part_nodes),
+t AS (SELECT id, rank, len(w) AS l, len(list_filter(w, lambda x: x = 'red')) AS a, len(list_filter(w, lambda x: x = 'widget')) AS b FROM d),
+c AS (SELECT count(*) AS n, avg(l) AS m, count(*) FILTER (WHERE a > 0) AS da, count(*) FILTER (WHERE b > 0) AS db FROM t),
+h AS (SELECT id, -(ln((n - da + 0.5) / (da + 0.5) + 1) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * l / m)) + ln((n - db + 0.5) / (db + 0.5) + 1) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * l / m))) - 5 * rank AS score FROM t, c WHERE a > 0 AND b > 0)"""
+
+
+def _neighbours_sql(of: str, k: int) -> str:
+    other = "source" if of == "target" else "target"
+    return f"""SELECT h.id, n.id AS other, row_number() OVER (PARTITION BY h.id ORDER BY e.confidence DESC, n.rank DESC, n.id) AS k FROM h JOIN part_edges e ON e.{of} = h.id JOIN part_nodes n ON n.id = e.{other} QUALIFY k <= {k}"""
+
+
+def _sources(nodes):
+    """A file of 1,100 lines, each the file's path, for every file of the nodes."""
+    return nodes.select(F.col("file_path").alias("path")).distinct().withColumn("text", F.repeat(F.concat("path", F.lit("\n")), 1100))
+
+
+@query(f"""WITH {oracle("part_nodes", "part_edges")}, {_TERMS.replace("WHERE a > 0 AND b > 0)", "WHERE a > 0 AND b > 0 ORDER BY score, id LIMIT 20)")},
+up AS (SELECT id, string_agg(other, ',' ORDER BY k) AS callers FROM ({_neighbours_sql("target", 10)}) GROUP BY id),
+down AS (SELECT id, string_agg(other, ',' ORDER BY k) AS callees FROM ({_neighbours_sql("source", 10)}) GROUP BY id)
+SELECT h.id, callers, callees, CAST(least(60, end_line - start_line + 1) AS INT) AS n_lines FROM h JOIN part_nodes USING (id) LEFT JOIN up USING (id) LEFT JOIN down USING (id)""")
 def q11_explore(spark, sf):
     nodes, edges = frame(spark, sf, "part_nodes"), frame(spark, sf, "part_edges")
-    files = nodes.select(F.col("file_path").alias("path")).distinct().withColumn("text", F.repeat(F.concat("path", F.lit("\n")), 1100))
-    found = context.explore(edges, nodes, files, "red widget")["symbols"]
+    found = context.explore(edges, nodes, _sources(nodes), "red widget")["symbols"]
     return found.select("id", F.array_join("callers", ",").alias("callers"), F.array_join("callees", ",").alias("callees"), F.size("lines").alias("n_lines"))
 
 
-@query()
+@query(f"""WITH {oracle("part_nodes", "part_edges")}, {_TERMS.replace("WHERE a > 0 AND b > 0)", "WHERE a > 0 AND b > 0 ORDER BY score, id LIMIT 20)")}
+SELECT DISTINCT source AS caller FROM part_edges JOIN h ON h.id = target ORDER BY caller LIMIT 30""")
+def q11_blast_radius(spark, sf):
+    nodes, edges = frame(spark, sf, "part_nodes"), frame(spark, sf, "part_edges")
+    return context.explore(edges, nodes, _sources(nodes), "red widget")["blast_radius"]
+
+
+@query(f"""WITH RECURSIVE {oracle("part_nodes", "part_edges")}, {_TERMS.replace("WHERE a > 0 AND b > 0)", "WHERE a > 0 AND b > 0 ORDER BY score, id LIMIT 16)")},
+s AS (SELECT id, name, row_number() OVER (ORDER BY score, id) - 1 AS i FROM h JOIN part_nodes USING (id)),
+every AS (SELECT id, 1000 - i AS priority, 'matches the query' AS reason, i, 0 AS part, 0 AS k FROM s
+  UNION ALL SELECT other, 500 - i, 'called by ' || name, i, 1, k FROM ({_neighbours_sql("source", 8)}) x JOIN s USING (id)
+  UNION ALL SELECT other, 300 - i, 'calls ' || name, i, 2, k FROM ({_neighbours_sql("target", 4)}) x JOIN s USING (id)),
+one AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY id ORDER BY i, part, k) = 1),
+sized AS (SELECT id, reason, row_number() OVER (ORDER BY priority DESC, i, part, k, id) AS position, least(40, end_line - start_line + 1) AS m, strlen(file_path) AS p,
+    strlen(qualified_name || ' ( ' || kind || ' ) ' || file_path || ':' || start_line) AS header FROM one JOIN part_nodes USING (id)),
+priced AS (SELECT id, reason, position, CAST(ceil((m * p + m - 1) / 4.0) + ceil(header / 4.0) AS BIGINT) AS tokens FROM sized),
+r AS (SELECT CAST(0 AS BIGINT) AS position, CAST(0 AS BIGINT) AS used, false AS fits UNION ALL
+  SELECT x.position, r.used + CASE WHEN r.used = 0 OR (r.used < 2000 AND r.used + x.tokens <= 2000) THEN x.tokens ELSE 0 END, r.used = 0 OR (r.used < 2000 AND r.used + x.tokens <= 2000) FROM r JOIN priced x ON x.position = r.position + 1)
+SELECT id, reason, tokens, CAST(x.position AS INT) AS position FROM r JOIN priced x USING (position) WHERE fits""")
 def q12_context_pack(spark, sf):
     nodes, edges = frame(spark, sf, "part_nodes"), frame(spark, sf, "part_edges")
-    files = nodes.select(F.col("file_path").alias("path")).distinct().withColumn("text", F.repeat(F.concat("path", F.lit("\n")), 1100))
-    return context.pack(edges, nodes, files, "red widget", 2000).select("id", "reason", "tokens", "position")
+    return context.pack(edges, nodes, _sources(nodes), "red widget", 2000).select("id", "reason", "tokens", "position")
 
 
-@query(f"""WITH RECURSIVE {oracle("supply_nodes")}, i AS (SELECT id, row_number() OVER (ORDER BY rank DESC, id) AS position, strlen(qualified_name) * 7 AS tokens FROM supply_nodes ORDER BY rank DESC, id LIMIT 60),
-r AS (SELECT CAST(0 AS BIGINT) AS position, CAST(0 AS BIGINT) AS used, false AS fits UNION ALL
-  SELECT i.position, r.used + CASE WHEN r.used = 0 OR (r.used < 1000 AND r.used + i.tokens <= 1000) THEN i.tokens ELSE 0 END, r.used = 0 OR (r.used < 1000 AND r.used + i.tokens <= 1000) FROM r JOIN i ON i.position = r.position + 1)
-SELECT i.id, CAST(i.position AS INT) AS position, i.tokens FROM r JOIN i USING (position) WHERE r.fits""")
+@query(f"""WITH RECURSIVE {oracle("supply_nodes")}, i AS (SELECT id, nation, row_number() OVER (PARTITION BY nation ORDER BY rank DESC, id) AS position, strlen(qualified_name) * 7 AS tokens FROM supply_nodes),
+r AS (SELECT DISTINCT nation, CAST(0 AS BIGINT) AS position, CAST(0 AS BIGINT) AS used, false AS fits FROM supply_nodes UNION ALL
+  SELECT i.nation, i.position, r.used + CASE WHEN r.used = 0 OR (r.used < 1000 AND r.used + i.tokens <= 1000) THEN i.tokens ELSE 0 END, r.used = 0 OR (r.used < 1000 AND r.used + i.tokens <= 1000) FROM r JOIN i ON i.position = r.position + 1 AND i.nation = r.nation)
+SELECT i.id, i.nation, CAST(i.position AS INT) AS position, i.tokens FROM r JOIN i USING (nation, position) WHERE r.fits""")
 def w5_greedy_budget(spark, sf):
-    nodes = frame(spark, sf, "supply_nodes").orderBy(F.desc("rank"), "id").limit(60)
-    items = nodes.select("id", F.row_number().over(Window.orderBy(F.desc("rank"), "id")).alias("position"), (F.octet_length("qualified_name") * 7).alias("tokens"))
-    return context.pack_greedily(items, 1000).select("id", "position", "tokens")
+    """Of each nation's symbols, best first, those that fit."""
+    nodes = frame(spark, sf, "supply_nodes")
+    best = Window.partitionBy("nation").orderBy(F.desc("rank"), "id")
+    items = nodes.select("id", "nation", F.row_number().over(best).alias("position"), (F.octet_length("qualified_name") * 7).alias("tokens"))
+    return context.pack_greedily(items, 1000, "nation").select("id", "nation", "position", "tokens")

@@ -83,7 +83,29 @@ def k15_export_csv(spark, sf):
     return export.csv_lines(spark.read.parquet(f"{sf}/documents.parquet"), ("doc_id", "source", "text"))
 
 
-@query()
+def _lsif_sql() -> str:
+    """Every line from its file's base number and the symbol's place in the file."""
+    line = lambda **c: "to_json({" + ", ".join(f"'{k}': {v}" for k, v in c.items()) + "})::VARCHAR"
+    place = lambda c: f"{{'line': greatest({c} - 1, 0), 'character': 0}}"
+    parts = [
+        line(id="pos", type="'vertex'", label="'range'", start=place("start_line"), end=place("end_line")),
+        line(id="pos + 1", type="'vertex'", label="'resultSet'"),
+        line(id="pos + 2", type="'edge'", label="'next'", outV="pos", inV="pos + 1"),
+        line(id="pos + 3", type="'vertex'", label="'hoverResult'", result="{'contents': [coalesce(signature, qualified_name)]}"),
+        line(id="pos + 4", type="'edge'", label="'textDocument/hover'", outV="pos + 1", inV="pos + 3"),
+        line(id="pos + 5", type="'edge'", label="'contains'", outV="base", inVs="[pos]"),
+    ]
+    symbols = " UNION ALL ".join(f"SELECT CAST(pos + {k} AS BIGINT) AS n, {x} AS line FROM placed" for k, x in enumerate(parts))
+    return f"""WITH {oracle("part_nodes")}, f AS (SELECT file_path, min(language) AS language, count(*) AS n, row_number() OVER (ORDER BY file_path) AS f FROM part_nodes GROUP BY file_path),
+b AS (SELECT file_path, language, CAST(2 * f + 1 + 7 * (sum(n) OVER (ORDER BY f) - n) AS BIGINT) AS base FROM f),
+placed AS (SELECT p.*, base, base + 1 + 7 * (row_number() OVER (PARTITION BY p.file_path ORDER BY start_line, id) - 1) AS pos FROM part_nodes p JOIN b ON b.file_path = p.file_path)
+SELECT CAST(1 AS BIGINT) AS n, '{{"id": 1, "type": "vertex", "label": "metaData", "version": "0.4.3", "positionEncoding": "utf-16"}}' AS line
+UNION ALL SELECT 2, '{{"id": 2, "type": "vertex", "label": "project"}}'
+UNION ALL SELECT base, {line(id="base", type="'vertex'", label="'document'", uri="'file://' || file_path", languageId="language")} FROM b
+UNION ALL {symbols}"""
+
+
+@query(_lsif_sql())
 def k16_export_lsif(spark, sf):
     nodes = frame(spark, sf, "part_nodes")
     return export.lsif_vertices(nodes)

@@ -9,6 +9,8 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.shared import numbered
+
 NODE_COLUMNS = ("id", "kind", "name", "qualified_name", "file_path", "language", "start_line", "end_line", "signature", "docstring", "visibility", "is_exported", "is_async", "is_static", "is_abstract")
 EDGE_COLUMNS = ("source", "target", "kind")
 FORMATS = ("json", "dot", "csv", "lsif")
@@ -45,11 +47,9 @@ def lsif_vertices(nodes: DataFrame) -> DataFrame:
     Ids are computed from ranks (a stride of 7 per symbol and 2 per file), not from a running counter.
     """
     files = nodes.select("file_path", "language").groupBy("file_path").agg(F.min("language").alias("language"))
-    files = files.withColumn("f", F.row_number().over(Window.orderBy("file_path")))
     symbols = nodes.filter(F.col("kind") != "file").withColumn("s", F.row_number().over(Window.partitionBy("file_path").orderBy("start_line", "id")))
     before = symbols.groupBy("file_path").agg(F.count(F.lit(1)).alias("n"))
-    files = files.join(before, "file_path", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    files = files.withColumn("base", 2 * F.col("f") + 1 + 7 * (F.sum("n").over(Window.orderBy("f")) - F.col("n")))
+    files = numbered(files.join(before, "file_path", "left"), "file_path", "n").withColumn("base", 2 * F.col("number") + 1 + 7 * F.col("before"))
     json_of = lambda **c: F.to_json(F.struct(*[v.alias(k) for k, v in c.items()]))
     lit = F.lit
     docs = files.select(F.col("base").alias("n"), json_of(id=F.col("base"), type=lit("vertex"), label=lit("document"), uri=F.concat(lit("file://"), F.col("file_path")), languageId=F.col("language")).alias("line"))
@@ -69,8 +69,23 @@ def lsif_vertices(nodes: DataFrame) -> DataFrame:
     return head.unionByName(docs.select(F.col("n").cast("bigint").alias("n"), "line")).unionByName(placed.select(F.explode(parts).alias("x")).select(F.col("x.n").cast("bigint").alias("n"), "x.line"))
 
 
+def save(nodes: DataFrame, edges: DataFrame, folder: str, form: str = "json") -> None:
+    """Writes a graph of any size as text files of lines, nodes and edges in folders of their own (LSIF and DOT in one); no line comes to the driver."""
+    if form not in FORMATS:
+        raise ValueError(f"unknown export format: {form}")
+    columns = tuple(c for c in NODE_COLUMNS if c in nodes.columns)
+    if form == "lsif":
+        lsif_vertices(nodes).orderBy("n").select("line").write.mode("overwrite").text(folder)
+    elif form == "dot":
+        dot_lines(nodes, edges).write.mode("overwrite").text(folder)
+    else:
+        lines = json_lines if form == "json" else csv_lines
+        lines(nodes, columns).write.mode("overwrite").text(f"{folder}/nodes")
+        lines(edges, EDGE_COLUMNS).write.mode("overwrite").text(f"{folder}/edges")
+
+
 def render(nodes: DataFrame, edges: DataFrame, form: str = "json") -> str:
-    """One text of a small graph; unknown forms raise. Larger ones are written from the line frames."""
+    """One text of a graph that fits on the driver; unknown forms raise. :func:`save` writes larger ones."""
     if form not in FORMATS:
         raise ValueError(f"unknown export format: {form}")
     lines = lambda df: [r["line"] for r in df.collect()]
