@@ -13,12 +13,15 @@ from pyspark.sql import types as T
 
 from .common import arrow_schema, only, written
 
-#: Projected dimensions; probability of the stopping test; vectors in a kd-tree, in a leaf, and queries in a block.
+#: Projected dimensions; probability of the stopping test; vectors in a kd-tree and in a leaf.
 DIMS = 12
 STOP = 0.97
 TREE_ROWS = 16_384
 LEAF_ROWS = 256
+#: Queries in a block, and bytes of their vectors; vectors of a partition of the index. They bound what the driver and a task hold.
 BLOCK_QUERIES = 32_768
+BLOCK_BYTES = 32 << 20
+PART_ROWS = 1_000_000
 #: Vectors of the sample that the space is divided by (its bound does not depend on the table).
 SAMPLE = 8_192
 
@@ -99,27 +102,32 @@ def cell_of(p: np.ndarray, heap: list[tuple[int, float]]) -> np.ndarray:
 class Found:
     """The best k different answers (id and score) of each query so far: scores descending, ties to the smaller id."""
 
-    def __init__(self, queries: np.ndarray, ids: np.ndarray, k: int, most: float):
-        self.q, self.ids, self.k, self.most = queries, ids, k, most
+    def __init__(self, queries: np.ndarray, ids: np.ndarray, k: int, most: float, floor: np.ndarray):
+        """``floor``: a score that each query's k-th best reaches for sure; what is below it is no answer."""
+        self.q, self.ids, self.k, self.most, self.floor = queries, ids, k, most, floor
         self.score = np.full((len(queries), k), -np.inf)
         self.id = np.full((len(queries), k), np.iinfo(np.int64).max)
         self.norm = (queries * queries).sum(1)
 
     def reach(self, stop: float) -> np.ndarray:
         """Squared projected distance beyond which the stopping test holds for each query."""
-        d = np.maximum(0.0, self.norm + self.most - 2 * self.score[:, -1])
+        d = np.maximum(0.0, self.norm + self.most - 2 * self.worst())
         return stop * d * (1 + 1e-9)
 
+    def worst(self) -> np.ndarray:
+        return np.maximum(self.floor, self.score[:, -1])
+
     def add(self, which: np.ndarray, x: np.ndarray, ids: np.ndarray, near: np.ndarray) -> None:
         """Verifies for queries ``which`` the vectors ``x`` where ``near`` says so."""
         rough = self.q[which] @ x.T
         rough[~near | (self.ids[which][:, None] == ids[None, :])] = -np.inf
-        worst = self.score[which, -1]
+        worst = self.worst()[which]
         with np.errstate(invalid="ignore"):
             r, c = np.nonzero((rough > -np.inf) & (rough >= (worst - 1e-9 * (1 + np.abs(worst)))[:, None]))
         if not len(r):
             return
         exact = (self.q[which[r]] * x[c]).sum(1)  # alike wherever a vector stands, so that equal vectors tie
+        r, c, exact = (v[exact >= self.floor[which[r]]] for v in (r, c, exact))
         rows = np.unique(r)
         for row in rows:
             own = slice(*np.searchsorted(r, (row, row + 1)))
@@ -133,8 +141,8 @@ class Found:
             self.score[q, : len(best)], self.id[q, : len(best)] = s[best], i[best]
 
 
-def search_tree(found: Found, projected: np.ndarray, x: np.ndarray, ids: np.ndarray, p: np.ndarray, stop: float) -> None:
-    """Incremental search of one kd-tree for all queries of a block.
+def search_tree(found: Found, projected: np.ndarray, x: np.ndarray, ids: np.ndarray, p: np.ndarray, stop: float, queries: np.ndarray) -> None:
+    """Incremental search of one kd-tree for ``queries`` of a block.
 
     Each query visits the leaves by their least projected distance; before each visit the
     stopping test compares that distance with what its k-th best so far allows, and ends
@@ -145,8 +153,8 @@ def search_tree(found: Found, projected: np.ndarray, x: np.ndarray, ids: np.ndar
     low = np.stack([p[v].min(0) for v in leaves])
     high = np.stack([p[v].max(0) for v in leaves])
     step = max(1, 4_000_000 // (len(leaves) * p.shape[1]))
-    for at in range(0, len(projected), step):
-        some = np.arange(at, min(at + step, len(projected)))
+    for at in range(0, len(queries), step):
+        some = queries[at : at + step]
         q = projected[some][:, None, :]
         away = (np.maximum(np.maximum(low[None] - q, q - high[None]), 0) ** 2).sum(2)
         order = np.argsort(away, axis=1, kind="stable")
@@ -165,8 +173,7 @@ def search_tree(found: Found, projected: np.ndarray, x: np.ndarray, ids: np.ndar
                 found.add(which, x[own], ids[own], near)
 
 
-_INDEX = T.StructType([T.StructField("cell", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("vec", T.ArrayType(T.FloatType()))])
-_FOUND = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
+_FOUND = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("place", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -181,15 +188,20 @@ def nearest(df: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id",
     the vectors given; ties go to the smaller id.
 
     The index has all rows: each vector's projections to ``dims`` dimensions put it in a
-    cell of a kd-tree over a bounded sample, and a task builds a kd-tree for each run of
-    at most 16,384 vectors of its cells. Queries come in blocks of bounded size against
-    the whole index; every visit is checked by the stopping test at probability ``stop``,
-    and a vector that passes is verified on its full coordinates. A task keeps the best k
-    of its queries over all its trees; those lists are merged by a ranked window.
+    cell of a kd-tree over a bounded sample, cells are dealt to partitions of about a
+    million vectors at most (so partitions grow with the table), and a task builds a
+    kd-tree for each run of at most 16,384 vectors. Queries come in blocks of bounded
+    bytes. A block first searches each query's own cell; its k-th best there is a floor
+    that the search of the whole index starts from, so that every task prunes by a bound
+    of the query and not only by what it has seen itself, and gives only answers that
+    reach it. Every visit is checked by the stopping test at probability ``stop``, and a
+    vector that passes is verified on its full coordinates. The answers of all tasks are
+    merged by a ranked window.
 
     Rows that repeat both id and vector count once. Of equal vectors only the k + 1 of
-    smallest ids can be an answer, so the others are left out before anything is dealt (Spark ranks within each partition first, which
-    keeps a vector that a third of rows share from meeting in one task).
+    smallest ids can be an answer, so the others are left out before anything is dealt
+    (Spark ranks within each partition first, which keeps a vector that a third of rows
+    share from meeting in one task).
 
     Vectors that are null, zero, of another length than most (the longest wins a tie), or
     that hold null or non-finite numbers take no part, nor do rows with a null id.
@@ -198,7 +210,10 @@ def nearest(df: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id",
     than k candidates all are returned; an empty table gives no rows.
     """
     spark = df.sparkSession
-    rows = only(df, vec_id=id_col, vec=vector_col).withColumn("vec", F.col("vec").cast("array<float>")).filter("vec_id is not null and vec is not null and size(vec) > 0")
+    rows = only(df, vec_id=id_col, vec=vector_col)
+    exact = isinstance(rows.schema["vec"].dataType, T.ArrayType) and rows.schema["vec"].dataType.elementType == T.DoubleType()
+    kind = T.ArrayType(T.DoubleType() if exact else T.FloatType())
+    rows = rows.withColumn("vec", F.col("vec").cast(kind)).filter("vec_id is not null and vec is not null and size(vec) > 0")
     rows = rows.filter(F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists("vec", lambda v: v != 0))
     widths = rows.groupBy(F.size("vec").alias("w")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("w")).first()
     schema = "query_id bigint, rank int, vec_id bigint, score double"
@@ -211,48 +226,69 @@ def nearest(df: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id",
     kept = written(rows.select("vec_id", "vec").distinct().withColumn("rank", F.row_number().over(copies)).filter(F.col("rank") <= k + 1).select("vec_id", "vec", norm.alias("norm")), "vectors")
     n, most = kept.agg(F.count(F.lit(1)), F.max("norm")).first()
     cells = 1
-    while cells * TREE_ROWS // 2 < n:
+    while cells * TREE_ROWS // 2 < n and cells < SAMPLE // 8:
         cells *= 2
     sample = kept.select("vec").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()["vec"]
-    heap = cell_edges(project(np.stack(sample.to_list()).astype(np.float64), most, dims), min(cells, 1024))
+    heap = cell_edges(project(np.stack(sample.to_list()).astype(np.float64), most, dims), cells)
+    indexed = T.StructType([T.StructField("cell", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("vec", kind)])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = project(_matrix(batch.column(1), width), most, dims)
-            yield pa.RecordBatch.from_arrays([pa.array(cell_of(p, heap)), batch.column(0), batch.column(1)], schema=arrow_schema(_INDEX))
+            yield pa.RecordBatch.from_arrays([pa.array(cell_of(p, heap)), batch.column(0), batch.column(1)], schema=arrow_schema(indexed))
 
-    parts = max(1, min(cells, 1024))
-    index = written(kept.select("vec_id", "vec").mapInArrow(deal, _INDEX).repartition(parts, "cell"), "index").select("vec_id", "vec")
+    salts = -(-n // (cells * PART_ROWS))  # more than one where a cell is too large for a partition
+    dealt = kept.select("vec_id", "vec").mapInArrow(deal, indexed).repartition(cells * salts, "cell", F.pmod(F.xxhash64("vec_id"), F.lit(salts)))
+    index = written(dealt, "index")
     test = chi_square_quantile(stop, dims)
     queries = rows.filter(F.col("vec_id") % every == 0).select("vec_id", "vec").distinct()
-    best = None
-    for block in _blocks(queries):
-        held = spark.sparkContext.broadcast(block)
 
-        def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            ids, q = held.value
-            found, projected = Found(q.astype(np.float64), ids, k, most), project(q.astype(np.float64), 0.0, dims)
+    def answers(block: tuple[np.ndarray, np.ndarray], floor: np.ndarray | None) -> DataFrame:
+        """What the index answers to a block; without floors, only each query's own cell is searched."""
+        held = spark.sparkContext.broadcast((*block, floor))
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q, floor = held.value
+            q = q.astype(np.float64)
+            projected, home = project(q, 0.0, dims), None
+            if floor is None:
+                home, floor = cell_of(projected, heap), np.full(len(q), -np.inf)
+            every_one = Found(q, ids, k, most, floor)
             wait: list[pa.RecordBatch] = []
 
-            def tree() -> None:
-                t = pa.Table.from_batches(wait)
-                for at in range(0, t.num_rows, TREE_ROWS):
-                    part = t.slice(at, TREE_ROWS)
-                    x = _matrix(part.column(1), width)
-                    search_tree(found, projected, x, part.column(0).to_numpy(), project(x, most, dims), test)
+            def trees() -> None:
+                t = pa.Table.from_batches(wait).combine_chunks()
+                cell = t.column(0).to_numpy()
+                for own in ([np.flatnonzero(cell == c) for c in np.unique(cell)] if home is not None else [np.arange(len(cell))]):
+                    which = np.flatnonzero(home == cell[own[0]]) if home is not None else np.arange(len(q))
+                    for at in range(0, len(own) if len(which) else 0, TREE_ROWS):
+                        part = t.take(pa.array(own[at : at + TREE_ROWS]))
+                        x = _matrix(part.column(2), width)
+                        search_tree(every_one, projected, x, part.column(1).to_numpy(), project(x, most, dims), test, which)
                 wait.clear()
 
             for batch in batches:
                 if batch.num_rows:
                     wait.append(batch)
                 if sum(b.num_rows for b in wait) >= TREE_ROWS:
-                    tree()
+                    trees()
             if wait:
-                tree()
-            r, c = np.nonzero(found.score > -np.inf)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(found.id[r, c]), pa.array(found.score[r, c])], schema=arrow_schema(_FOUND))
+                trees()
+            r, c = np.nonzero(every_one.score > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(r), pa.array(every_one.id[r, c]), pa.array(every_one.score[r, c])], schema=arrow_schema(_FOUND))
 
-        some = written(index.mapInArrow(search, _FOUND), "found")
+        found = written(index.mapInArrow(search, _FOUND), "found")
+        held.destroy()
+        return found
+
+    best = None
+    for block in _blocks(queries, max(1, min(BLOCK_QUERIES, BLOCK_BYTES // (8 * width)))):
+        near = F.row_number().over(Window.partitionBy("place").orderBy(F.desc("score"), "vec_id"))
+        home = answers(block, None).distinct()
+        floors = home.withColumn("rank", near).filter(F.col("rank") == k).select("place", "score").toPandas()
+        floor = np.full(len(block[0]), -np.inf)
+        floor[floors["place"].to_numpy(np.int64)] = floors["score"].to_numpy(np.float64)
+        some = home.unionByName(answers(block, floor)).select("query_id", "vec_id", "score")
         best = some if best is None else best.unionByName(some)
     if best is None:
         return spark.createDataFrame([], schema)
@@ -260,13 +296,13 @@ def nearest(df: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id",
     return best.distinct().withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The queries in blocks of bounded size, read one partition at a time."""
+def _blocks(queries: DataFrame, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The queries in blocks of at most ``most``, read one partition at a time."""
     ids, vecs = [], []
     for vec_id, vec in queries.toLocalIterator():
         ids.append(vec_id)
-        vecs.append(np.array(vec, np.float32))
-        if len(ids) == BLOCK_QUERIES:
+        vecs.append(np.array(vec))
+        if len(ids) == most:
             yield np.array(ids, np.int64), np.stack(vecs)
             ids, vecs = [], []
     if ids:
