@@ -54,6 +54,15 @@ def test_shards_are_minimax_over_hash_order(spark, shards):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+@pytest.mark.parametrize("bits,groups", [(3, 4), (3, 100), (14, 3), (2, 1)])
+def test_shards_are_alike_however_ranges_are_opened(spark, monkeypatch, bits, groups):
+    docs = table(spark, SF, "documents")
+    want = sorted((r[0], r[4]) for r in rows(sharding.shard(docs, 5)))
+    monkeypatch.setattr(sharding, "RANGE_BITS", bits)
+    monkeypatch.setattr(sharding, "OPEN_GROUPS", groups)
+    assert sorted((r[0], r[4]) for r in rows(sharding.shard(docs, 5))) == want
+
+
 def test_shards_of_odd_rows(spark):
     odd = [(1, None, "x"), (2, "", "x"), (None, "a", "x"), (3, "b" * 100_000, "x"), (4, "c", "x"), (4, "c", "x"), (5, "é", None)]
     df = spark.createDataFrame(odd, "doc_id bigint, text string, shard string").withColumn("size", F.lit(1))
