@@ -212,6 +212,16 @@ def test_language_of_held_out_documents(spark, odd):
     assert {r[2] for r in rows(lang_id.identify_languages(unlabelled))} == {"und"}
 
 
+def test_training_texts_are_bounded_whatever_the_ids(spark):
+    many = [(None, f"plain words number {k:04}", "en") for k in range(300)] + [(None, "the same again and again", "en")] * 300 + [(7, f"encore des mots {k:04}", "fr") for k in range(5)] + [(7, "encore", "fr")] * 50
+    df = spark.createDataFrame(many, "doc_id bigint, text string, lang string")
+    assert df.filter(~lang_id.held_out("doc_id")).count() > 300
+    langs, grams = lang_id.fit(df, 10)
+    assert "en" in langs and 1 < grams["en"][1].sum() <= 10 * 24
+    if "fr" in langs:
+        assert grams["fr"][1].sum() <= 6 * 20
+
+
 def test_decontamination_finds_windows(spark, odd):
     item = "one two three four five six seven eight nine ten eleven"
     docs = spark.createDataFrame([(1, "Zero ONE two, three four five six seven eight nine ten? no"), (2, "two three four five six seven eight nine ten ELEVEN twelve"), (3, item + " " + item), (4, "short item"), (5, "a Short-Item b"), (6, None), (7, ""), (8, "one two three four")], "doc_id bigint, text string")

@@ -189,7 +189,12 @@ def contamination(df: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
 
 
 def keep_clean(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """The rows of ``df``, with all their columns, that no window of the benchmark occurs in; a narrow pass for each block of it."""
+    """The rows of ``df``, with all their columns, that no window of the benchmark occurs in; a narrow pass for each block of it.
+
+    Null and empty texts, and texts without words, stay; null items and items without words
+    have no windows, so an empty benchmark keeps all rows; null ids and repeated rows are
+    rows like others; an empty table gives none.
+    """
     context = df.sparkSession.sparkContext
     for k, block in enumerate(blocks_of(only(benchmark, item=item_col, text=item_text_col))):
         items, key = context.broadcast(block), uuid.uuid4().hex

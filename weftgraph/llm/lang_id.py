@@ -104,22 +104,24 @@ def held_out(doc_id: str) -> F.Column:
 def fit(df: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], dict[str, tuple[np.ndarray, np.ndarray]]]:
     """Languages, and counts of each one's 4-grams, over at most ``train_docs`` whole texts of a language.
 
-    ``df`` has ``doc_id, text, lang``. Ids of a language are thinned by their hash to about
-    twice as many as wanted and the least ranked, so a hot language does not gather in one
-    task; the texts are then read for those ids alone. What reaches the driver is bounded by
-    languages times ``train_docs`` texts' distinct 4-grams.
+    ``df`` has ``doc_id, text, lang``. Rows are named by a hash of id and text; those of a
+    language are thinned by it to about twice as many as wanted and the least ranked, so a
+    hot language does not gather in one task, and repeated rows or ids (also null ones)
+    bring no more texts than others. The texts are then read for those hashes alone, once
+    each. What reaches the driver is bounded by languages times ``train_docs`` texts'
+    distinct 4-grams.
     """
     rows = df.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id"))
-    ids = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
-    # A hash below the share that leaves about twice as many ids as wanted: a hot language is thinned in the scan.
-    share = ids.groupBy("lang").agg((F.lit(2.0 * train_docs) / F.count(F.lit(1))).alias("share"))
+    rows = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    # A hash below the share that leaves about twice as many rows as wanted: a hot language is thinned in the scan.
+    share = rows.groupBy("lang").agg((F.lit(2.0 * train_docs) / F.approx_count_distinct("h")).alias("share"))
     unit = F.col("h") / F.lit(2.0**64) + 0.5
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    keep = ids.join(checked_broadcast(share), "lang").filter(unit < F.col("share")).withColumn("rank", rank).filter(F.col("rank") <= train_docs).select("doc_id").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    keep = rows.select("lang", "h").join(checked_broadcast(share), "lang").filter(unit < F.col("share")).select("lang", "h").distinct().withColumn("rank", rank).filter(F.col("rank") <= train_docs).select("lang", "h")
     few = keep.limit(BROADCAST_ROWS + 1).collect()
     if len(few) <= BROADCAST_ROWS:
         keep = F.broadcast(df.sparkSession.createDataFrame(few, keep.schema))
-    chosen = rows.join(keep, rows["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi").select("lang", "text")
+    chosen = rows.join(keep, ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
 
     def count(batch: pa.RecordBatch) -> dict[str, list]:
         by: dict[str, list[bytes]] = {}
@@ -190,7 +192,12 @@ def identify_languages(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.5) -> DataFrame:
-    """The rows of ``df``, with all their columns, whose language is known with a score of at least ``least``."""
+    """The rows of ``df``, with all their columns, whose language is known with a score of at least ``least``.
+
+    Rows of null or empty text or without a letter go, as do all rows if none has a
+    language to learn from. A null id is one like others; repeated rows stay or go alike;
+    an empty table gives none. Of languages that tie the first name counts.
+    """
     predict = predictor(only(df, doc_id=id_col, text=text_col, lang=lang_col))
 
     def keep(texts: list) -> list[bool]:
