@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, only, slices, written
+from .common import BROADCAST_ROWS, map_rows, only, slices, written
 from .pretokens import pieces_of
 
 LENGTH = 4096
@@ -69,14 +69,32 @@ def patterns(classes: int = CLASSES, depth: int = DEPTH) -> list[tuple[int, ...]
     return found
 
 
+def fitted(left: np.ndarray, length: int, classes: int, depth: int) -> tuple[list[tuple[int, ...]], np.ndarray]:
+    """Patterns of length classes, and repeat counts of each that fit a histogram (by length) best."""
+    width = length // classes
+    histogram = np.zeros(classes + 1)
+    for s in np.flatnonzero(left):
+        histogram[min(-(-int(s) // width), classes)] += left[s]
+    shapes = patterns(classes, depth)
+    a = np.zeros((classes, len(shapes)))
+    for j, shape in enumerate(shapes):
+        for c in shape:
+            a[c - 1, j] += 1
+    weight = np.arange(1, classes + 1)[:, None] / classes  # a token is as dear in a short piece as in a long one
+    b = histogram[1:].copy()
+    b[classes - 1] = 0  # pieces of the top class stand alone or take a short residual
+    return shapes, nnls(a * weight, b * weight[:, 0])
+
+
 class Plan:
     """Which pieces go where, as runs: equally long pieces of consecutive ranks, one to a sequence.
 
     Work is on the histogram of lengths alone, so its cost depends on the number of
-    distinct lengths and not on that of documents.
+    distinct lengths and not on that of documents. ``fit`` has the patterns and their
+    fitted repeat counts, of which ``share`` are used; by default they are fitted here.
     """
 
-    def __init__(self, histogram: dict[int, int], length: int = LENGTH, classes: int = CLASSES, depth: int = DEPTH, share: float = 1.0):
+    def __init__(self, histogram: dict[int, int], length: int = LENGTH, classes: int = CLASSES, depth: int = DEPTH, share: float = 1.0, fit: tuple[list[tuple[int, ...]], np.ndarray] | None = None):
         self.length = length
         self.left = np.zeros(length + 1, np.int64)
         for size, n in histogram.items():
@@ -87,7 +105,9 @@ class Plan:
         self.room = 0  # bits: free sizes that have an open sequence
         self.sequences = 0
         self.runs: list[tuple[int, int, int, int, int]] = []
-        self._pattern_pass(classes, depth, share)
+        if length // classes and self.have:
+            shapes, times = fit or fitted(self.left, length, classes, depth)
+            self._pattern_pass(shapes, np.floor(share * times + 1e-9).astype(np.int64), length // classes)
         self._residual_pass()
 
     def _place(self, size: int, first: int, n: int, free: int) -> None:
@@ -107,23 +127,7 @@ class Plan:
         """The longest piece left of at most ``most`` tokens, or 0."""
         return (self.have & ((1 << (most + 1)) - 1)).bit_length() - 1 if self.have & ((1 << (most + 1)) - 2) else 0
 
-    def _pattern_pass(self, classes: int, depth: int, share: float) -> None:
-        width = self.length // classes
-        if not width or not self.have:
-            return
-        of = lambda size: -(-size // width)
-        histogram = np.zeros(classes + 1)
-        for s in np.flatnonzero(self.left):
-            histogram[min(of(int(s)), classes)] += self.left[s]
-        shapes = patterns(classes, depth)
-        a = np.zeros((classes, len(shapes)))
-        for j, shape in enumerate(shapes):
-            for c in shape:
-                a[c - 1, j] += 1
-        weight = np.arange(1, classes + 1)[:, None] / classes  # a token is as dear in a short piece as in a long one
-        b = histogram[1:].copy()
-        b[classes - 1] = 0  # pieces of the top class stand alone or take a short residual
-        times = np.floor(share * nnls(a * weight, b * weight[:, 0]) + 1e-9).astype(np.int64)
+    def _pattern_pass(self, shapes: list[tuple[int, ...]], times: np.ndarray, width: int) -> None:
         for j in sorted(np.flatnonzero(times), key=lambda j: shapes[j], reverse=True):
             self._repeat(shapes[j], int(times[j]), width)
 
@@ -174,8 +178,14 @@ class Plan:
 
 
 def best_plan(histogram: dict[int, int], length: int = LENGTH) -> Plan:
-    """The plan with the fewest sequences over shares of the fitted counts and two widths of classes."""
-    tried = [Plan(histogram, length, classes, DEPTH, share) for classes in (CLASSES, 2 * CLASSES) for share in SHARES]
+    """The plan with the fewest sequences over shares of the fitted counts and two widths of classes; each width is fitted once."""
+    left = np.zeros(length + 1, np.int64)
+    for size, n in histogram.items():
+        left[size] = n
+    tried = []
+    for classes in (CLASSES, 2 * CLASSES):
+        fit = fitted(left, length, classes, DEPTH) if length // classes and left.any() else None
+        tried += [Plan(histogram, length, classes, DEPTH, share, fit) for share in SHARES]
     return min(tried, key=lambda p: p.sequences)
 
 
@@ -253,7 +263,8 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
     plan is a list of runs (equally long pieces of consecutive ranks), whose number
     follows the distinct lengths. A piece's rank is its rank in its partition plus what
     earlier partitions have of its length, so a length that a third of all pieces share
-    meets in no one task; the piece finds its run by binary search.
+    meets in no one task; the piece finds its run by binary search. What earlier partitions
+    have is a row per partition and length, which is broadcast only if counted and few.
 
     Null and empty texts are one piece of one token; a null id stays null; repeated rows
     are packed each; an empty table gives no rows; other columns are ignored.
@@ -264,6 +275,7 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
     runs = np.array(sorted(plan.runs), np.int64).reshape(-1, 5)
     held = df.sparkSession.sparkContext.broadcast(runs)
     before = counts.select("part", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("shift"))
+    before = F.broadcast(before) if counts.count() <= BROADCAST_ROWS else before.hint("merge")
     ranked = pieces.join(before, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("shift")).alias("rank"))
 
     def fold(batch: pa.RecordBatch) -> dict[str, list]:
