@@ -54,6 +54,15 @@ def test_impact_grows_with_depth(spark):
         before = now
 
 
+def test_two_seeds_a_node_tell_all_that_reach_another(spark):
+    rng = random.Random(9)
+    for _ in range(3):
+        e = edges(spark, *{(f"n{rng.randrange(25)}", f"n{rng.randrange(25)}") for _ in range(40)})
+        seeds = spark.createDataFrame([(f"n{k}",) for k in rng.sample(range(25), 9)], "id string")
+        for depth in (1, 3):
+            assert values(graph.impact(e, seeds, depth), "id") == values(graph.impact(e, seeds, depth, most_seeds=2), "id")
+
+
 def test_paths(spark):
     e = edges(spark, ("a", "b"), ("b", "c"), ("a", "z"), ("z", "c"))
     assert graph.call_path(e, "a", "c") == ["a", "b", "c"]

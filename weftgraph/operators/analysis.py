@@ -56,7 +56,7 @@ def related_tests(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, test: Co
     """Tests that reach any seed through calls, each once, by qualified name. The walk goes on through tests."""
     if test is None:
         test = paths.is_test(F.col("kind"), F.col("name"), F.col("file_path"), F.col("qualified_name"))
-    reached = impact(edges, seeds, depth, nodes, per_node).select("id").distinct()
+    reached = impact(edges, seeds, depth, nodes, per_node, most_seeds=2).select("id").distinct()
     return nodes.filter(test).join(reached, "id", "left_semi").orderBy("qualified_name", "id")
 
 

@@ -70,14 +70,15 @@ def top_subgraph(edges: DataFrame, nodes: DataFrame, limit: int = 150) -> tuple[
     return top.withColumn("size", F.round(F.col("rank") * 100) + 1), subgraph(edges, top)
 
 
-def impact(edges: DataFrame, seeds: DataFrame, max_depth: int = 5, nodes: DataFrame | None = None, per_node: int | None = 100) -> DataFrame:
+def impact(edges: DataFrame, seeds: DataFrame, max_depth: int = 5, nodes: DataFrame | None = None, per_node: int | None = 100, most_seeds: int | None = None) -> DataFrame:
     """``seed, id, depth``: everything that calls a seed, directly or not, within ``max_depth`` calls.
 
     ``seeds`` has ``id``. All seeds walk at once, as frontiers of (seed, node) pairs; a level
     is one join, and what was visited is kept out by an anti join, so cycles end. Each
     frontier is computed once and kept in the shared folder, so plans stay short. The seed
     itself is not in its result. With ``nodes`` at most ``per_node`` callers of a node are
-    followed.
+    followed. With ``most_seeds`` a node is walked on for that many of its nearest seeds
+    only; two are enough to know all nodes that reach any other seed.
     """
     step = top_neighbours(edges, nodes, "target", per_node).select("source", "target") if nodes is not None and per_node else calls(edges).select("source", "target").distinct()
     step = cut(step)
@@ -85,7 +86,11 @@ def impact(edges: DataFrame, seeds: DataFrame, max_depth: int = 5, nodes: DataFr
     seen, levels = frontier, []
     for depth in range(1, max_depth + 1):
         reached = frontier.join(step, frontier["id"] == step["target"]).select("seed", F.col("source").alias("id")).distinct()
-        frontier = cut(reached.join(seen, ["seed", "id"], "left_anti"))
+        reached = reached.join(seen, ["seed", "id"], "left_anti")
+        if most_seeds:
+            place = F.row_number().over(Window.partitionBy("id").orderBy("seed")) + F.coalesce("n", F.lit(0))
+            reached = reached.join(seen.groupBy("id").agg(F.count(F.lit(1)).alias("n")), "id", "left").withColumn("place", place).filter(F.col("place") <= most_seeds).select("seed", "id")
+        frontier = cut(reached)
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)

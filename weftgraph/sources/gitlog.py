@@ -15,10 +15,18 @@ def run_git(root: str, *args: str) -> str:
     return done.stdout
 
 
+#: Commits of a log that are parsed together.
+LOG_COMMITS = 1_000
+
+
 def log_frame(spark: SparkSession, root: str, since: str | None = None) -> DataFrame:
-    """Lines of ``git log``: ``log, line_no, text``."""
+    """Lines of ``git log``: ``log, line_no, text``; a long log is dealt out as logs of ``LOG_COMMITS`` commits."""
     text = run_git(root, "log", "--no-merges", "--pretty=format:@%H", "--name-only", *([f"{since}..HEAD"] if since else []))
-    return spark.createDataFrame([(0, k, line) for k, line in enumerate(text.splitlines())], "log bigint, line_no bigint, text string")
+    rows, commits = [], 0
+    for k, line in enumerate(text.splitlines()):
+        commits += line.startswith("@")
+        rows.append((max(0, commits - 1) // LOG_COMMITS, k, line))
+    return spark.createDataFrame(rows, "log bigint, line_no bigint, text string")
 
 
 def parse_log(lines: DataFrame) -> DataFrame:
