@@ -426,6 +426,21 @@ def test_pipeline_against_its_parts(spark):
     assert len(corpus_pipeline.STAGES) == 5
 
 
+@pytest.mark.parametrize("docs,items", [(0, 5), (40, 0), (0, 0)])
+def test_pipeline_on_empty_tables(spark, tmp_path, docs, items):
+    import corpus_pipeline
+
+    table(spark, SF, "documents").orderBy("doc_id").limit(docs).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    table(spark, SF, "benchmark").limit(items).coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = rows(corpus_pipeline.run(spark, str(tmp_path)))
+    texts = dict(rows(table(spark, str(tmp_path), "documents").select("doc_id", "text")))
+    if not docs:
+        assert got == []
+        return
+    _, root = brute_links(list(texts.values()))
+    assert {r[0] for r in got} == {d for k, (d, t) in enumerate(texts.items()) if root[k] == k and any(map(str.isalpha, t))}
+
+
 def test_stages_take_odd_documents(spark):
     import corpus_pipeline
 
