@@ -212,6 +212,22 @@ def test_language_of_held_out_documents(spark, odd):
     assert {r[2] for r in rows(lang_id.identify_languages(unlabelled))} == {"und"}
 
 
+def test_languages_in_several_passes(spark, odd, monkeypatch):
+    docs = table(spark, SF, "documents").select("doc_id", "text", "lang", "source")
+    every = docs.unionByName(odd.select("doc_id", "text", "lang", "source"))
+    want = sorted(rows(lang_id.identify_languages(every)), key=str)
+    kept = sorted(rows(lang_id.keep_identified(every)), key=str)
+    for most in (1, 30_000_000):
+        monkeypatch.setattr(lang_id, "TABLE_BYTES", most)
+        got = sorted(rows(lang_id.identify_languages(every)), key=str)
+        assert [g[:3] for g in got] == [w[:3] for w in want]
+        assert np.allclose([g[3] for g in got], [w[3] for w in want])
+        assert sorted(rows(lang_id.keep_identified(every)), key=str) == kept
+    langs, grams = lang_id.fit(docs)
+    assert len(lang_id.language_blocks(langs, grams, 1)) == len(langs) > 2
+    assert lang_id.language_blocks(langs, grams, 1 << 40) == [langs]
+
+
 def test_training_texts_are_bounded_whatever_the_ids(spark):
     many = [(None, f"plain words number {k:04}", "en") for k in range(300)] + [(None, "the same again and again", "en")] * 300 + [(7, f"encore des mots {k:04}", "fr") for k in range(5)] + [(7, "encore", "fr")] * 50
     df = spark.createDataFrame(many, "doc_id bigint, text string, lang string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -10,16 +11,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, checked_broadcast, filter_rows, map_rows, only, worker_state
+from .common import BROADCAST_ROWS, checked_broadcast, filter_rows, map_rows, only, worker_state, written
 
 #: Labelled rows of a language that the trees are grown from: those with the smallest hashes of their ids.
 TRAIN_DOCS = 1000
 ORDER = 3
 UNKNOWN = "und"
+#: Bytes of a worker's table of costs; languages beyond what it holds are judged in further passes.
+TABLE_BYTES = 256 << 20
 SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double"
 _PAD = b" " * ORDER
 
 
+def seen_bytes(grams: dict[str, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    seen = np.zeros(256, bool)
+    for codes, _ in grams.values():
+        seen[codes & 255] = True
+    seen[32] = True
+    return seen
+
+
+def language_blocks(langs: list[str], grams: dict[str, tuple[np.ndarray, np.ndarray]], most: int | None = None) -> list[list[str]]:
+    """Languages in blocks whose tables of costs take at most ``most`` bytes (or hold one language)."""
+    a = int(seen_bytes(grams).sum()) + 1
+    out: list[list[str]] = []
+    contexts = 0
+    for lang in langs:
+        own = len(np.unique(grams[lang][0] >> 8)) if lang in grams else 0
+        if out and 4 * (a * a + contexts + own) * a * (len(out[-1]) + 1) <= (most or TABLE_BYTES):
+            out[-1].append(lang)
+            contexts += own
+        else:
+            out.append([lang])
+            contexts = own
+    return out
+
+
 class Trees:
     """Per-language context trees of order 0 to 3, compiled to one table of exact code lengths.
 
@@ -27,15 +54,13 @@ class Trees:
     distinct, gives a seen symbol count / (N + D) and an escape D / (N + D) to the next
     shorter context; order -1 is uniform over 256 bytes. A context never seen costs nothing
     to leave. Bytes never seen in training share one class, whose cost is the escapes
-    plus 8 bits. The three bytes before a text count as spaces.
+    plus 8 bits. The three bytes before a text count as spaces. ``langs`` may be some of
+    those that ``grams`` has.
     """
 
     def __init__(self, langs: list[str], grams: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.langs = langs
-        seen = np.zeros(256, bool)
-        for codes, _ in grams.values():
-            seen[codes & 255] = True
-        seen[32] = True
+        seen = seen_bytes(grams)
         self.classes = np.cumsum(seen) - 1
         a = self.size = int(seen.sum()) + 1
         self.of_byte = np.where(seen, self.classes, a - 1).astype(np.int64)
@@ -146,27 +171,51 @@ def fit(df: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], dict[st
     return langs, grams
 
 
-def predictor(rows: DataFrame, train_docs: int = TRAIN_DOCS) -> Callable[[list], tuple[list[str], list[float]]]:
-    """A function for executors from texts to their languages and scores, learned from ``rows`` (``doc_id, text, lang``)."""
+def code_lengths(rows: DataFrame, train_docs: int = TRAIN_DOCS) -> list[Callable[[list], list[tuple[str, float, float] | None]]]:
+    """Functions for executors, one for each block of languages, learned from ``rows`` (``doc_id, text, lang``).
+
+    Each tells of a text the block's best language, its code length in bits, and the sum of
+    2^-(a language's length - the best's) over the block; None of a text without letters.
+    """
     langs, grams = fit(rows, train_docs)
-    model, key = rows.sparkSession.sparkContext.broadcast((langs, grams)), uuid.uuid4().hex
+    model = rows.sparkSession.sparkContext.broadcast(grams)
 
-    def predict(texts: list[str | None]) -> tuple[list[str], list[float]]:
-        pred, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        if not langs:
-            return pred, score
-        trees = worker_state(("trees", key), lambda: Trees(*model.value))
+    def judge(texts: list[str | None], block: list[str], key: str) -> list[tuple[str, float, float] | None]:
+        out: list[tuple[str, float, float] | None] = [None] * len(texts)
+        trees = worker_state(("trees", key), lambda: Trees(block, model.value))
         judged = [k for k, t in enumerate(texts) if t and any(map(str.isalpha, t))]
         for at in range(0, len(judged), 128):
             some = judged[at : at + 128]
             bits = trees.bits([texts[k].encode() for k in some])
-            best = bits.argmin(1)
-            share = 1 / np.exp2(np.clip(bits.min(1, keepdims=True) - bits, -1074, 0)).sum(1)
-            for k, b, s in zip(some, best.tolist(), share.tolist()):
-                pred[k], score[k] = trees.langs[b], s
-        return pred, score
+            least = bits.min(1, keepdims=True)
+            total = np.exp2(np.clip(least - bits, -1074, 0)).sum(1)
+            for k, b, x, s in zip(some, bits.argmin(1).tolist(), least[:, 0].tolist(), total.tolist()):
+                out[k] = trees.langs[b], x, s
+        return out
+
+    return [functools.partial(judge, block=block, key=uuid.uuid4().hex) for block in language_blocks(langs, grams)]
+
+
+def _said(judges: list, texts: list[str | None]) -> list[tuple[str, float]]:
+    """Language and score of each text, where one block has all languages (or there are none)."""
+    found = judges[0](texts) if judges else [None] * len(texts)
+    return [(f[0], 1 / f[2]) if f else (UNKNOWN, 0.0) for f in found]
+
+
+def _in_passes(judges: list, source: DataFrame) -> DataFrame:
+    """``place, lang_pred, score`` of texts with a letter (``source`` has ``place, text``): a narrow pass for each block of languages, merged by place."""
+
+    def one(judge) -> DataFrame:
+        def fold(batch: pa.RecordBatch) -> dict[str, list]:
+            found = [(p, *f) for p, f in zip(batch.column(0).to_pylist(), judge(batch.column(1).to_pylist())) if f]
+            return dict(zip(("place", "lang", "bits", "total"), map(list, zip(*found)) if found else ([], [], [], [])))
+
+        return written(map_rows(source.select("place", "text"), fold, "place bigint, lang string, bits double, total double"), "languages")
 
-    return predict
+    every = functools.reduce(DataFrame.unionByName, [one(judge) for judge in judges])
+    best = every.groupBy("place").agg(F.min(F.struct("bits", "lang")).alias("best"), F.collect_list(F.struct("bits", "total")).alias("parts"))  # a part a block
+    total = F.aggregate("parts", F.lit(0.0), lambda acc, x: acc + x["total"] * F.pow(F.lit(2.0), F.col("best.bits") - x["bits"]))
+    return best.select("place", F.col("best.lang").alias("lang_pred"), (1 / total).alias("score"))
 
 
 def identify_languages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> DataFrame:
@@ -175,20 +224,26 @@ def identify_languages(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Learned from rows with a language whose crc32(id as text) mod 3 is not 1, at most
     ``train_docs`` a language. The prediction has the least exact code length over all
     bytes of the text (ties: the first name); ``score`` is its share of 2^-length over
-    all languages. Prediction sees the text alone and is one narrow pass.
+    all languages. Prediction sees the text alone and is one narrow pass; where the tables of all
+    languages take more than ``TABLE_BYTES``, one for each block of languages, merged.
 
     Null text, or one without a letter: ``und`` with score 0. No labelled rows: all are
     ``und``. A null id is scored like any other; repeated rows give repeated results;
     an empty table gives none; other columns are ignored.
     """
     rows = only(df, doc_id=id_col, text=text_col, lang=lang_col)
-    predict = predictor(rows, train_docs)
+    judges = code_lengths(rows, train_docs)
+    wanted = rows.select("doc_id", held_out("doc_id").alias("held_out"), "text")
+    if len(judges) > 1:
+        source = written(wanted.withColumn("place", F.monotonically_increasing_id()), "docs")
+        found = source.drop("text").join(_in_passes(judges, source), "place", "left")
+        return found.select("doc_id", "held_out", F.coalesce("lang_pred", F.lit(UNKNOWN)).alias("lang_pred"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
     def fold(batch: pa.RecordBatch) -> dict[str, list]:
-        pred, score = predict(batch.column(2).to_pylist())
-        return {"doc_id": batch.column(0), "held_out": batch.column(1), "lang_pred": pred, "score": score}
+        said = _said(judges, batch.column(2).to_pylist())
+        return {"doc_id": batch.column(0), "held_out": batch.column(1), "lang_pred": [p for p, _ in said], "score": [s for _, s in said]}
 
-    return map_rows(rows.select("doc_id", held_out("doc_id").alias("held_out"), "text"), fold, SCHEMA)
+    return map_rows(wanted, fold, SCHEMA)
 
 
 def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.5) -> DataFrame:
@@ -198,9 +253,14 @@ def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     language to learn from. A null id is one like others; repeated rows stay or go alike;
     an empty table gives none. Of languages that tie the first name counts.
     """
-    predict = predictor(only(df, doc_id=id_col, text=text_col, lang=lang_col))
+    judges = code_lengths(only(df, doc_id=id_col, text=text_col, lang=lang_col))
+    if len(judges) > 1:
+        columns = [f"c{k}" for k in range(len(df.columns))]
+        source = written(df.toDF(*columns).withColumn("place", F.monotonically_increasing_id()), "docs")
+        known = _in_passes(judges, source.select("place", F.col(columns[df.columns.index(text_col)]).alias("text"))).filter(F.col("score") >= least)
+        return source.join(known, "place", "left_semi").select(*columns).toDF(*df.columns)
 
     def keep(texts: list) -> list[bool]:
-        return [p != UNKNOWN and s >= least for p, s in zip(*predict(texts))]
+        return [p != UNKNOWN and s >= least for p, s in _said(judges, texts)]
 
     return filter_rows(df, text_col, keep)
