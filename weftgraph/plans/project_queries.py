@@ -7,11 +7,14 @@ import re
 import uuid
 from pathlib import Path
 
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from ..index import Index
 from ..operators.shared import ensure_checkpoint_dir
-from ..sources import config, scan
+from ..sources import config, export, gitlog, scan, store
+from ..streaming import service
+from .projections import frame
 from .registry import query
 
 # What the project holds, as the SQL says it as well: a file per nation that calls its region's
@@ -26,11 +29,18 @@ _FILES_SQL = r"""files AS (
   UNION ALL SELECT '../more/r' || r_regionkey || '.h', CASE WHEN r_regionkey % 2 = 0 THEN 'cpp' ELSE 'c' END, CASE WHEN r_regionkey % 2 = 0 THEN 'class R {};' ELSE 'int r;' END || chr(10) FROM region)"""
 
 
-def _write(spark, sf: str) -> str:
-    """The project's root, in the shared folder."""
+def _folder(spark) -> str:
+    """A new folder in the shared one."""
     ensure_checkpoint_dir(spark)
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    root = Path(re.sub("^file:/+", "/", shared)) / f"weftgraph-project-{uuid.uuid4().hex}" / "p"
+    path = Path(re.sub("^file:/+", "/", shared)) / f"weftgraph-project-{uuid.uuid4().hex}" / "p"
+    path.mkdir(parents=True)
+    return str(path)
+
+
+def _write(spark, sf: str) -> str:
+    """The project's root, in the shared folder."""
+    root = Path(_folder(spark))
     files = {"src/common.py": "def common():\n    return 1\n", "src/wide.py": "x = 1\n" * 2000, "src/old.scm": "(define x 1)\n", ".gitignore": "made/\n", "notes/.gitignore": "n1*.go\n", config.FILE: json.dumps({"max_file_size": 8000, "disabled_languages": ["scheme"], "extra_roots": ["../more", "../none"]})}
     for k, r in spark.read.parquet(f"{sf}/nation.parquet").select("n_nationkey", "n_regionkey").collect():
         files[f"src/n{k}.py"] = f"from region_{r} import serve_{r}\n\ndef open_{k}():\n    return serve_{r}()\n"
@@ -164,3 +174,79 @@ def st3_apply_changes(spark, sf):
     updated = spark.createDataFrame([(str(src / f"n{k}.py"),) for k in nations], "path string")
     index.apply_changes(updated, spark.createDataFrame([(str(src / "region_1.py"),)], "path string"))
     return _derived(index)
+
+
+@query(f"""WITH c AS ({_CALLS_SQL}) SELECT * FROM c WHERE caller NOT IN (SELECT 'open_' || n_nationkey FROM nation WHERE n_regionkey IN (2, 3)) AND caller <> 'serve_3' AND callee <> 'serve_3'
+UNION ALL SELECT 'late_' || n_nationkey, 'common', 1.0 FROM nation WHERE n_regionkey = 2""")
+def st6_sync_and_watch(spark, sf):
+    """Files change while nobody watches, and one is deleted; the watcher brings the index up to date before it waits for more."""
+    index = Index(spark, _write(spark, sf))
+    index.build()
+    src = Path(index.root) / "src"
+    (src / "region_3.py").unlink()
+    for k in [k for (k,) in spark.read.parquet(f"{sf}/nation.parquet").filter("n_regionkey = 2").select("n_nationkey").collect()]:
+        (src / f"n{k}.py").write_text(f"def late_{k}():\n    return common()\n")
+    service.watch(index, once=True).awaitTermination()
+    return _derived(index)
+
+
+@query("SELECT n_nationkey, n_regionkey FROM nation")
+def k12_transaction(spark, sf):
+    """What a store holds after a commit that succeeded and one that failed half way."""
+    held = store.Store(spark, _folder(spark))
+    nation = spark.read.parquet(f"{sf}/nation.parquet").select("n_nationkey", "n_regionkey")
+    held.commit({"nodes": nation, "files": nation})
+    fails = nation.withColumn("n_regionkey", F.when(F.col("n_nationkey") > 20, F.raise_error(F.lit("half way")).cast(nation.schema["n_regionkey"].dataType)).otherwise(F.col("n_regionkey")))
+    try:
+        held.commit({"files": nation.limit(1), "nodes": fails})
+    except PySparkException:
+        return held.read("nodes")
+    return nation.limit(0)
+
+
+@query("SELECT x.form, x.known FROM (VALUES ('csv', true), ('dot', true), ('json', true), ('lsif', true), ('xml', false)) x(form, known)")
+def k17_export_forms(spark, sf):
+    """Forms of export that a graph can be saved in, and one that it cannot."""
+    nodes, edges = frame(spark, sf, "part_nodes"), frame(spark, sf, "part_edges")
+    rows = []
+    for form in ("csv", "dot", "json", "lsif", "xml"):
+        try:
+            export.save(nodes, edges, f"file://{_folder(spark)}", form)
+            rows.append((form, True))
+        except ValueError:
+            rows.append((form, False))
+    return spark.createDataFrame(rows, "form string, known boolean")
+
+
+@query("SELECT true AS was_there, false AS is_there")
+def k19_remove(spark, sf):
+    held = store.Store(spark, _folder(spark))
+    held.commit({"nodes": spark.read.parquet(f"{sf}/region.parquet")})
+    was = held.remove()
+    return spark.createDataFrame([(was, held.version() is not None)], "was_there boolean, is_there boolean")
+
+
+def _repository(spark, sf: str) -> str:
+    """A repository with a commit per region, each of the region's file and of a common one."""
+    root = _folder(spark)
+    git = lambda *a: gitlog.run_git(root, "-c", "user.name=n", "-c", "user.email=n@example.org", *a)
+    git("init", "-q")
+    for (r,) in spark.read.parquet(f"{sf}/region.parquet").select("r_regionkey").orderBy("r_regionkey").collect():
+        (Path(root) / f"region_{r}.py").write_text(f"R = {r}\n")
+        (Path(root) / "all.py").write_text(f"FIRST = 0\nLAST = {r}\n")
+        git("add", "-A")
+        git("commit", "-q", "-m", f"region {r}")
+    return root
+
+
+@query("SELECT 'region_' || r_regionkey || '.py' AS file, 1::BIGINT AS commits FROM region UNION ALL SELECT 'all.py', count(*) FROM region")
+def s8_git_log(spark, sf):
+    return gitlog.parse_log(gitlog.log_frame(spark, _repository(spark, sf))).groupBy("file").agg(F.countDistinct("commit").alias("commits"))
+
+
+@query("SELECT 'all.py' AS file_path, CAST(x.line AS INT) AS line FROM (VALUES (2), (3)) x(line)")
+def s10_git_diff(spark, sf):
+    """Lines that differ from the last commit."""
+    root = _repository(spark, sf)
+    (Path(root) / "all.py").write_text("FIRST = 0\nMORE = 1\nLAST = -1\n")
+    return gitlog.changed_lines(gitlog.changed_files(spark, root)).select("file_path", F.col("line").cast("int").alias("line"))
