@@ -221,6 +221,19 @@ def test_resolution_tiers(spark):
     assert every.count() == every.select("source", "target", "kind").distinct().count()
 
 
+def test_common_names_are_resolved_as_rare_ones(spark):
+    from weftgraph.plans.graph_queries import _code
+    from weftgraph.plans.projections import frame
+
+    sf = "/root/testdata/sf0.001"
+    refs, code, contains = frame(spark, sf, "refs").unionByName(frame(spark, sf, "base_refs")), _code(spark, sf), frame(spark, sf, "contains_edges")
+    columns = ("source", "target", "kind", "confidence", "tier")
+    want = values(resolve.resolve(refs, code, contains), *columns)
+    assert len({w[4] for w in want}) >= 5
+    for few in (0, 2):
+        assert values(resolve.resolve(refs, code, contains, few=few), *columns) == want
+
+
 def test_inherited_calls(spark):
     rows = [("T", "struct", "T", "T", "a.rs"), ("B", "class", "Base", "Base", "b.rs"), ("f2", "method", "f", "b::f", "b.rs"), ("f3", "function", "f", "c::f", "c.rs"), ("m", "method", "m", "a::m", "a.rs")]
     n = spark.createDataFrame([(*r, 1, 1, None, None, False, 0.0) for r in rows], NODE)

@@ -20,6 +20,10 @@ TARGET_KINDS = {
     "instantiates": ("class", "struct", "interface", "enum"),
 }
 OTHER = "other"
+#: What a reference and its candidates have in common: a name, and a class of edges.
+_KEY = ["name_key", "class"]
+#: Candidates of a name up to which its references meet the list of them.
+FEW = 64
 TIERS = {"typed": 0.98, "only": 1.00, "same_type": 0.97, "inherited": 0.85, "same_file": 0.90, "import_one": 0.80, "import_some": 0.60, "any": 0.40}
 
 
@@ -67,7 +71,7 @@ def edge_class(kind: Column) -> Column:
     return F.when(kind.isin(*TARGET_KINDS), kind).otherwise(F.lit(OTHER))
 
 
-def resolve(refs: DataFrame, nodes: DataFrame, edges: DataFrame, all_refs: DataFrame | None = None) -> DataFrame:
+def resolve(refs: DataFrame, nodes: DataFrame, edges: DataFrame, all_refs: DataFrame | None = None, few: int = FEW) -> DataFrame:
     """``source, target, kind, confidence, tier`` of every reference that finds a node.
 
     ``refs`` has ``ref_id, source_node_id, target_name, kind, file_path, receiver_hint``;
@@ -77,33 +81,73 @@ def resolve(refs: DataFrame, nodes: DataFrame, edges: DataFrame, all_refs: DataF
     reference), a single candidate, the caller's own type, a base of it, the same file,
     files that the imports name, all. An edge keeps the confidence of its last reference.
 
-    References never meet all nodes of a common name to find that out. Candidates are
-    counted by name, and by name and container, file or file stem; a reference's tier is
-    read from these counts by equi-joins on such narrow keys, and only the candidates of
-    the tier are then joined, on the same keys. References alike in all that decides (a
-    caller that calls one name often) are one row from the start, by partial aggregates.
+    References alike in all that decides (a caller that calls one name often) are one row
+    from the start, by partial aggregates. Names are counted first. A reference to a name
+    of at most ``few`` candidates meets the list of them in one join and chooses from it; a
+    common name never meets all its references (see :func:`_of_common_names`).
     """
     told = all_refs if all_refs is not None else refs
     containers = container_of(edges, nodes).join(nodes.select(F.col("id").alias("container"), F.col("name").alias("container_name")), "container")
     targets = nodes.select("id", "kind", "name", "qualified_name", "file_path").join(containers.select(F.col("target").alias("id"), F.col("container").alias("c_type"), F.col("container_name").alias("c_name")), "id", "left")
     entries = _entries(targets).select("name_key", "class", F.col("id").alias("candidate"), "c_type", "c_name", type_token(F.col("c_name")).alias("c_token"), F.col("file_path").alias("c_file"), ascii_lower(paths.stem(F.col("file_path"))).alias("stem"))
     entries = cut(entries)
+    counts = cut(entries.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n_all")))
 
     some = refs.groupBy("source_node_id", "target_name", "kind", "file_path", "receiver_hint").agg(F.max("ref_id").alias("ref_id"))
     some = some.join(containers.select(F.col("target").alias("source_node_id"), F.col("container").alias("s_type"), F.col("container_name").alias("s_name")), "source_node_id", "left")
     hint = F.regexp_replace("receiver_hint", "^!", "")
     want = F.when(hint == "Self", type_token(F.col("s_name"))).otherwise(hint)
     some = some.select("ref_id", "source_node_id", F.col("target_name").alias("name_key"), "kind", edge_class(F.col("kind")).alias("class"), F.col("file_path").alias("c_file"), want.alias("c_token"), F.when(F.col("kind") == "calls", F.col("s_type")).alias("c_type"), F.startswith("receiver_hint", F.lit("!")).alias("authoritative"))
+    some = cut(some.join(counts, _KEY))
+    bases = base_type_names(told).select(F.col("source").alias("c_type"), "bases")
+    imported = import_segments(told).select(F.col("file_path").alias("c_file"), F.col("segment").alias("stem"))
+
+    found = _of_rare_names(some.filter(F.col("n_all") <= few), entries.join(counts.filter(F.col("n_all") <= few), _KEY), bases, imported)
+    common = some.filter(F.col("n_all") > few)
+    if not common.isEmpty():
+        found = found.unionByName(_of_common_names(common, entries, bases.withColumn("c_name", F.explode("bases")).drop("bases"), imported))
+    confidence = F.coalesce(*[F.when(F.col("tier") == name, F.lit(x)) for name, x in TIERS.items()])
+    last = found.groupBy("source", "target", "kind").agg(F.max_by("tier", "ref_id").alias("tier"))
+    return last.select("source", "target", "kind", confidence.alias("confidence"), "tier")
+
+
+def _of_rare_names(refs: DataFrame, entries: DataFrame, bases: DataFrame, imported: DataFrame) -> DataFrame:
+    """``source, target, kind, ref_id, tier``: each reference with the list of its candidates, chosen from by expressions."""
+    lists = entries.groupBy(*_KEY).agg(F.collect_list(F.struct("candidate", "c_type", "c_name", "c_token", "c_file", "stem")).alias("every"))
+    stems = imported.groupBy("c_file").agg(F.collect_set("stem").alias("stems"))
+    met = refs.join(lists, _KEY).join(bases, "c_type", "left").join(stems, "c_file", "left")
+    among = lambda test: F.filter("every", test)
+    typed = among(lambda x: x["c_token"] == F.col("c_token"))
+    same_type = among(lambda x: x["c_type"] == F.col("c_type"))
+    inherited = among(lambda x: F.array_contains("bases", x["c_name"]))
+    same_file = among(lambda x: x["c_file"] == F.col("c_file"))
+    named = among(lambda x: F.array_contains("stems", x["stem"]))
+    told = lambda tier, which: F.struct(F.lit(tier).alias("tier"), F.transform(which, lambda x: x["candidate"]).alias("chosen"))
+    choice = (
+        F.when(F.size(typed) > 0, told("typed", typed))
+        .when(F.col("authoritative") & F.col("c_token").isNotNull(), F.lit(None))
+        .when(F.col("n_all") == 1, told("only", F.col("every")))
+        .when(F.size(same_type) > 0, told("same_type", same_type))
+        .when(F.size(inherited) > 0, told("inherited", inherited))
+        .when(F.size(same_file) > 0, told("same_file", same_file))
+        .when(F.size(named) == 1, told("import_one", named))
+        .when((F.size(named) > 1) & (F.size(named) < F.col("n_all")), told("import_some", named))
+        .otherwise(told("any", F.col("every")))
+    )
+    chosen = met.select(F.col("source_node_id").alias("source"), "kind", "ref_id", choice.alias("choice"))
+    return chosen.select("source", F.explode("choice.chosen").alias("target"), "kind", "ref_id", "choice.tier")
 
-    key = ["name_key", "class"]
-    counts = {
-        "n_all": (key, F.count(F.lit(1))),
-        "n_typed": ([*key, "c_token"], F.count(F.lit(1))),
-        "n_same_type": ([*key, "c_type"], F.count(F.lit(1))),
-        "n_same_file": ([*key, "c_file"], F.count(F.lit(1))),
-    }
-    for name, (by, count) in counts.items():
-        some = some.join(entries.groupBy(*by).agg(count.alias(name)), by, "inner" if name == "n_all" else "left")
+
+def _of_common_names(some: DataFrame, entries: DataFrame, bases: DataFrame, imported: DataFrame) -> DataFrame:
+    """``source, target, kind, ref_id, tier``, without joining references to all candidates of their names.
+
+    Candidates are counted by name and container, file or file stem; a reference's tier is
+    read from these counts by equi-joins on such narrow keys, and only the candidates of
+    the tier are then joined, on the same keys.
+    """
+    counts = {"n_typed": "c_token", "n_same_type": "c_type", "n_same_file": "c_file"}
+    for name, by in counts.items():
+        some = some.join(entries.groupBy(*_KEY, by).agg(F.count(F.lit(1)).alias(name)), [*_KEY, by], "left")
     first = (
         F.when(F.col("n_typed") > 0, "typed")
         .when(F.col("authoritative") & F.col("c_token").isNotNull(), "none")
@@ -113,13 +157,11 @@ def resolve(refs: DataFrame, nodes: DataFrame, edges: DataFrame, all_refs: DataF
     some = cut(some.withColumn("tier", first).filter("tier IS NULL OR tier <> 'none'").drop("n_typed", "n_same_type", "authoritative"))
 
     # What needs a list on the reference's side (bases of its type, imports of its file) is asked only where no tier holds yet.
-    bases = base_type_names(told).select(F.col("source").alias("c_type"), F.explode("bases").alias("c_name"))
-    imported = import_segments(told).select(F.col("file_path").alias("c_file"), F.col("segment").alias("stem"))
     of_ref = ["source_node_id", "name_key", "kind", "ref_id"]
     open_refs = some.filter("tier IS NULL")
-    inherited = open_refs.join(bases, "c_type").join(entries.select(*key, "c_name").distinct(), [*key, "c_name"], "left_semi").select(*of_ref).distinct().withColumn("inherits", F.lit(True))
-    stems = entries.groupBy(*key, "stem").agg(F.count(F.lit(1)).alias("n"))
-    named = open_refs.filter("n_same_file IS NULL").join(imported, "c_file").join(stems, [*key, "stem"]).groupBy(*of_ref).agg(F.sum("n").alias("n_named"))
+    inherited = open_refs.join(bases, "c_type").join(entries.select(*_KEY, "c_name").distinct(), [*_KEY, "c_name"], "left_semi").select(*of_ref).distinct().withColumn("inherits", F.lit(True))
+    stems = entries.groupBy(*_KEY, "stem").agg(F.count(F.lit(1)).alias("n"))
+    named = open_refs.filter("n_same_file IS NULL").join(imported, "c_file").join(stems, [*_KEY, "stem"]).groupBy(*of_ref).agg(F.sum("n").alias("n_named"))
     open_refs = open_refs.join(inherited, of_ref, "left").join(named, of_ref, "left")
     then = (
         F.when(F.col("inherits"), "inherited")
@@ -132,19 +174,16 @@ def resolve(refs: DataFrame, nodes: DataFrame, edges: DataFrame, all_refs: DataF
     decided = cut(some.filter("tier IS NOT NULL").select(*plain).unionByName(open_refs.withColumn("tier", then).select(*plain)))
 
     of = lambda *tiers: decided.filter(F.col("tier").isin(*tiers))
-    imports = of("import_one", "import_some")
+    on = lambda refs, *by: refs.join(entries.select(*_KEY, *by, "candidate"), [*_KEY, *by])
     joined = [
-        of("typed").join(entries.select(*key, "c_token", "candidate"), [*key, "c_token"]),
-        of("only", "any").join(entries.select(*key, "candidate"), key),
-        of("same_type").join(entries.select(*key, "c_type", "candidate"), [*key, "c_type"]),
-        of("inherited").join(bases, "c_type").join(entries.select(*key, "c_name", "candidate"), [*key, "c_name"]),
-        of("same_file").join(entries.select(*key, "c_file", "candidate"), [*key, "c_file"]),
-        imports.join(imported, "c_file").join(entries.select(*key, "stem", "candidate"), [*key, "stem"]),
+        on(of("typed"), "c_token"),
+        on(of("only", "any")),
+        on(of("same_type"), "c_type"),
+        on(of("inherited").join(bases, "c_type"), "c_name"),
+        on(of("same_file"), "c_file"),
+        on(of("import_one", "import_some").join(imported, "c_file"), "stem"),
     ]
-    found = functools.reduce(DataFrame.unionByName, [df.select(F.col("source_node_id").alias("source"), F.col("candidate").alias("target"), "kind", "ref_id", "tier") for df in joined])
-    confidence = F.coalesce(*[F.when(F.col("tier") == name, F.lit(x)) for name, x in TIERS.items()])
-    last = found.groupBy("source", "target", "kind").agg(F.max_by("tier", "ref_id").alias("tier"))
-    return last.select("source", "target", "kind", confidence.alias("confidence"), "tier")
+    return functools.reduce(DataFrame.unionByName, [df.select(F.col("source_node_id").alias("source"), F.col("candidate").alias("target"), "kind", "ref_id", "tier") for df in joined])
 
 
 def affected_refs(refs: DataFrame, nodes: DataFrame, changed_files: DataFrame) -> DataFrame:
