@@ -269,3 +269,43 @@ def test_path_functions(spark):
     layer = lambda p: spark.createDataFrame([(p,)], "path string").select(paths.layer(F.col("path"), "/r").alias("x")).first()["x"]
     assert [layer("/r/src/a.rs"), layer("/r/a.rs"), layer("/r/x/y/z")] == ["src", "(root)", "x"]
     assert [one(spark, paths.stem(F.lit(p))) for p in ("a/b.test.ts", "x", ".hidden")] == ["b.test", "x", ".hidden"]
+
+
+def shuffled_rows(df):
+    """Rows that the plan of ``df``, once collected, wrote to shuffles."""
+    def rows(plan):
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return rows(plan.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return rows(plan.plan())
+        own = plan.metrics().apply("shuffleRecordsWritten").value() if name == "ShuffleExchangeExec" else 0
+        return own + sum(rows(plan.children().apply(k)) for k in range(plan.children().size()))
+
+    return rows(df._jdf.queryExecution().executedPlan())
+
+
+CODE = "id string, kind string, name string, qualified_name string, file_path string"
+
+
+def changed_edges(spark, nodes, rows):
+    """Edges after the symbols of d/0.rs got their names back."""
+    old = [(i, kind, "g" if file == "d/0.rs" else name, q, file) for i, kind, name, q, file in nodes]
+    old, new = (spark.createDataFrame(x, CODE) for x in (old, nodes))
+    return resolve.resolve_changed(spark.createDataFrame(rows, REF), old, new, edges(spark, ("x", "y"), kind="contains"), spark.createDataFrame([("d/0.rs",)], "file_path string"))
+
+
+def test_changed_files_do_not_shuffle_all_edges_of_common_names(spark):
+    """30 callers of a name of 200 nodes."""
+    n = [(f"t{k}", "function", "f", f"m{k}::f", f"d/{k % 2}.rs") for k in range(200)] + [(f"s{k}", "function", f"s{k}", f"m::s{k}", "d/1.rs") for k in range(30)]
+    found = changed_edges(spark, n, [(k, f"s{k}", "f", "calls", "d/1.rs" if k else "z.rs", None) for k in range(30)] + [(31, "s1", "s2", "calls", "d/1.rs", None)])
+    want = {(f"s{s}", f"t{t}", 0.9, "same_file") for s in range(1, 30) for t in range(1, 200, 2)} | {("s0", f"t{t}", 0.4, "any") for t in range(200)} | {("s1", "s2", 1.0, "only")}
+    rows = [(r["source"], r["target"], float(r["confidence"]), r["tier"]) for r in found.collect()]
+    assert set(rows) == want and len(rows) == len(want) > 3000
+    assert shuffled_rows(found) < 1500
+
+
+def test_an_edge_by_two_names_is_found_anew_once(spark):
+    n = [("t0", "function", "f", "m0::f", "d/0.rs"), ("t1", "function", "f", "m1::f", "d/1.rs"), ("s0", "function", "s0", "m::s0", "z.rs")]
+    found = changed_edges(spark, n, [(1, "s0", "f", "calls", "z.rs", None), (2, "s0", "m1::f", "calls", "z.rs", None)])
+    assert sorted((r["target"], r["tier"]) for r in found.collect()) == [("t0", "any"), ("t1", "any")]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..functions.text import ascii_lower
 from .graph import base_type_names, container_of
-from .shared import cut
+from .shared import cut, small
 
 # Node kinds that an edge kind may lead to (other edge kinds lead anywhere), and the confidence of each tier.
 TARGET_KINDS = {
@@ -71,12 +71,13 @@ def edge_class(kind: Column) -> Column:
     return F.when(kind.isin(*TARGET_KINDS), kind).otherwise(F.lit(OTHER))
 
 
-def resolve(refs: DataFrame, nodes: DataFrame, edges: DataFrame, all_refs: DataFrame | None = None, few: int = FEW) -> DataFrame:
+def resolve(refs: DataFrame, nodes: DataFrame, edges: DataFrame, all_refs: DataFrame | None = None, few: int = FEW, only_to: DataFrame | None = None) -> DataFrame:
     """``source, target, kind, confidence, tier`` of every reference that finds a node.
 
     ``refs`` has ``ref_id, source_node_id, target_name, kind, file_path, receiver_hint``;
     ``edges`` the contains edges; ``all_refs`` the references that imports and bases are read
-    from (``refs`` itself, if not given). The tier of a reference is the first of these that
+    from (``refs`` itself, if not given). With ``only_to`` (``id``) edges to other nodes are
+    left out; these still count as candidates. The tier of a reference is the first of these that
     holds: the hinted type (an authoritative hint ``!T`` that matches nothing drops the
     reference), a single candidate, the caller's own type, a base of it, the same file,
     files that the imports name, all. An edge keeps the confidence of its last reference.
@@ -84,36 +85,82 @@ def resolve(refs: DataFrame, nodes: DataFrame, edges: DataFrame, all_refs: DataF
     References alike in all that decides (a caller that calls one name often) are one row
     from the start, by partial aggregates. Names are counted first. A reference to a name
     of at most ``few`` candidates meets the list of them in one join and chooses from it; a
-    common name never meets all its references (see :func:`_of_common_names`).
+    common name never meets all its references (see :func:`_of_common_names`). Edges, of which
+    there may be far more than references, are only aggregated where two references can give
+    the same one (see :func:`_alone`).
     """
     told = all_refs if all_refs is not None else refs
     containers = container_of(edges, nodes).join(nodes.select(F.col("id").alias("container"), F.col("name").alias("container_name")), "container")
     targets = nodes.select("id", "kind", "name", "qualified_name", "file_path").join(containers.select(F.col("target").alias("id"), F.col("container").alias("c_type"), F.col("container_name").alias("c_name")), "id", "left")
-    entries = _entries(targets).select("name_key", "class", F.col("id").alias("candidate"), "c_type", "c_name", type_token(F.col("c_name")).alias("c_token"), F.col("file_path").alias("c_file"), ascii_lower(paths.stem(F.col("file_path"))).alias("stem"))
+    targets = targets.join(only_to.select("id").distinct().withColumn("wanted", F.lit(True)), "id", "left") if only_to is not None else targets.withColumn("wanted", F.lit(True))
+    keys = cut(refs.select(F.col("target_name").alias("name_key"), edge_class(F.col("kind")).alias("class")).distinct())
+    entries = _entries(targets).join(small(keys), _KEY, "left_semi")
+    entries = entries.select("name_key", "class", F.col("id").alias("candidate"), "wanted", "c_type", "c_name", type_token(F.col("c_name")).alias("c_token"), F.col("file_path").alias("c_file"), ascii_lower(paths.stem(F.col("file_path"))).alias("stem"))
     entries = cut(entries)
     counts = cut(entries.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n_all")))
 
     some = refs.groupBy("source_node_id", "target_name", "kind", "file_path", "receiver_hint").agg(F.max("ref_id").alias("ref_id"))
+    some = _alone(some, nodes, keys.select("name_key").distinct())
     some = some.join(containers.select(F.col("target").alias("source_node_id"), F.col("container").alias("s_type"), F.col("container_name").alias("s_name")), "source_node_id", "left")
     hint = F.regexp_replace("receiver_hint", "^!", "")
     want = F.when(hint == "Self", type_token(F.col("s_name"))).otherwise(hint)
-    some = some.select("ref_id", "source_node_id", F.col("target_name").alias("name_key"), "kind", edge_class(F.col("kind")).alias("class"), F.col("file_path").alias("c_file"), want.alias("c_token"), F.when(F.col("kind") == "calls", F.col("s_type")).alias("c_type"), F.startswith("receiver_hint", F.lit("!")).alias("authoritative"))
-    some = cut(some.join(counts, _KEY))
-    bases = base_type_names(told).select(F.col("source").alias("c_type"), "bases")
-    imported = import_segments(told).select(F.col("file_path").alias("c_file"), F.col("segment").alias("stem"))
-
-    found = _of_rare_names(some.filter(F.col("n_all") <= few), entries.join(counts.filter(F.col("n_all") <= few), _KEY), bases, imported)
-    common = some.filter(F.col("n_all") > few)
+    some = some.select("ref_id", "source_node_id", F.col("target_name").alias("name_key"), "kind", edge_class(F.col("kind")).alias("class"), F.col("file_path").alias("c_file"), want.alias("c_token"), F.when(F.col("kind") == "calls", F.col("s_type")).alias("c_type"), F.startswith("receiver_hint", F.lit("!")).alias("authoritative"), "alone")
+    some = cut(some.join(small(counts), _KEY))
+    # Only bases of types that contain something are asked for.
+    of_types = told.join(containers.select(F.col("container").alias("source_node_id")).distinct(), "source_node_id", "left_semi")
+    bases = cut(base_type_names(of_types).select(F.col("source").alias("c_type"), "bases"))
+    imported = cut(import_segments(told).select(F.col("file_path").alias("c_file"), F.col("segment").alias("stem")))
+
+    found = []
+    rare, common = some.filter(F.col("n_all") <= few), some.filter(F.col("n_all") > few)
+    if not rare.isEmpty():
+        found += _by_need(_of_rare_names(rare, entries.join(counts.filter(F.col("n_all") <= few), _KEY), bases, imported), rare)
     if not common.isEmpty():
-        found = found.unionByName(_of_common_names(common, entries, bases.withColumn("c_name", F.explode("bases")).drop("bases"), imported))
+        found += _by_need(_of_common_names(common, entries, bases.withColumn("c_name", F.explode("bases")).drop("bases"), imported), common)
+    if not found:
+        found = _by_need(_of_rare_names(rare, entries.join(counts, _KEY), bases, imported), rare)
     confidence = F.coalesce(*[F.when(F.col("tier") == name, F.lit(x)) for name, x in TIERS.items()])
-    last = found.groupBy("source", "target", "kind").agg(F.max_by("tier", "ref_id").alias("tier"))
+    last = functools.reduce(DataFrame.unionByName, found)
     return last.select("source", "target", "kind", confidence.alias("confidence"), "tier")
 
 
+def twin_names(nodes: DataFrame, names: DataFrame) -> DataFrame:
+    """``name_key``: those of ``names`` by which some node goes that also goes by another of them."""
+    asked = small(cut(names))
+    both = nodes.filter("name <> qualified_name").select("name", "qualified_name")
+    for by in ("qualified_name", "name"):
+        both = both.join(asked.withColumnRenamed("name_key", by), by, "left_semi")
+    return cut(both.select(F.explode(F.array("name", "qualified_name")).alias("name_key")).distinct())
+
+
+def _alone(some: DataFrame, nodes: DataFrame, names: DataFrame) -> DataFrame:
+    """``some`` with ``alone``: no other reference can give the same edges.
+
+    Others can if they go from the same node by the same kind to the same name, or to another
+    name of the same node; and all can if ids of nodes repeat.
+    """
+    if not nodes.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        return some.withColumn("alone", F.lit(False))
+    some = some.withColumn("alone", F.count(F.lit(1)).over(Window.partitionBy("source_node_id", "target_name", "kind")) == 1)
+    twins = twin_names(nodes, names)
+    if twins.isEmpty():
+        return some
+    some = some.join(small(twins.select(F.col("name_key").alias("target_name"), F.lit(True).alias("twin"))), "target_name", "left")
+    return some.withColumn("alone", F.col("alone") & F.col("twin").isNull()).drop("twin")
+
+
+def _by_need(found: DataFrame, refs: DataFrame) -> list[DataFrame]:
+    """``source, target, kind, tier``: edges of references that are alone as they are, the others by their last reference."""
+    plain = ["source", "target", "kind", "tier"]
+    parts = [found.filter("alone").select(*plain)]
+    if not refs.filter("NOT alone").isEmpty():
+        parts.append(found.filter("NOT alone").groupBy("source", "target", "kind").agg(F.max_by("tier", "ref_id").alias("tier")).select(*plain))
+    return parts
+
+
 def _of_rare_names(refs: DataFrame, entries: DataFrame, bases: DataFrame, imported: DataFrame) -> DataFrame:
-    """``source, target, kind, ref_id, tier``: each reference with the list of its candidates, chosen from by expressions."""
-    lists = entries.groupBy(*_KEY).agg(F.collect_list(F.struct("candidate", "c_type", "c_name", "c_token", "c_file", "stem")).alias("every"))
+    """``source, target, kind, ref_id, tier, alone``: each reference with the list of its candidates, chosen from by expressions."""
+    lists = entries.groupBy(*_KEY).agg(F.collect_list(F.struct("candidate", "wanted", "c_type", "c_name", "c_token", "c_file", "stem")).alias("every"))
     stems = imported.groupBy("c_file").agg(F.collect_set("stem").alias("stems"))
     met = refs.join(lists, _KEY).join(bases, "c_type", "left").join(stems, "c_file", "left")
     among = lambda test: F.filter("every", test)
@@ -122,7 +169,7 @@ def _of_rare_names(refs: DataFrame, entries: DataFrame, bases: DataFrame, import
     inherited = among(lambda x: F.array_contains("bases", x["c_name"]))
     same_file = among(lambda x: x["c_file"] == F.col("c_file"))
     named = among(lambda x: F.array_contains("stems", x["stem"]))
-    told = lambda tier, which: F.struct(F.lit(tier).alias("tier"), F.transform(which, lambda x: x["candidate"]).alias("chosen"))
+    told = lambda tier, which: F.struct(F.lit(tier).alias("tier"), F.transform(F.filter(which, lambda x: x["wanted"]), lambda x: x["candidate"]).alias("chosen"))
     choice = (
         F.when(F.size(typed) > 0, told("typed", typed))
         .when(F.col("authoritative") & F.col("c_token").isNotNull(), F.lit(None))
@@ -134,12 +181,12 @@ def _of_rare_names(refs: DataFrame, entries: DataFrame, bases: DataFrame, import
         .when((F.size(named) > 1) & (F.size(named) < F.col("n_all")), told("import_some", named))
         .otherwise(told("any", F.col("every")))
     )
-    chosen = met.select(F.col("source_node_id").alias("source"), "kind", "ref_id", choice.alias("choice"))
-    return chosen.select("source", F.explode("choice.chosen").alias("target"), "kind", "ref_id", "choice.tier")
+    chosen = met.select(F.col("source_node_id").alias("source"), "kind", "ref_id", choice.alias("choice"), "alone")
+    return chosen.select("source", F.explode("choice.chosen").alias("target"), "kind", "ref_id", "choice.tier", "alone")
 
 
 def _of_common_names(some: DataFrame, entries: DataFrame, bases: DataFrame, imported: DataFrame) -> DataFrame:
-    """``source, target, kind, ref_id, tier``, without joining references to all candidates of their names.
+    """``source, target, kind, ref_id, tier, alone``, without joining references to all candidates of their names.
 
     Candidates are counted by name and container, file or file stem; a reference's tier is
     read from these counts by equi-joins on such narrow keys, and only the candidates of
@@ -147,7 +194,7 @@ def _of_common_names(some: DataFrame, entries: DataFrame, bases: DataFrame, impo
     """
     counts = {"n_typed": "c_token", "n_same_type": "c_type", "n_same_file": "c_file"}
     for name, by in counts.items():
-        some = some.join(entries.groupBy(*_KEY, by).agg(F.count(F.lit(1)).alias(name)), [*_KEY, by], "left")
+        some = some.join(small(cut(entries.groupBy(*_KEY, by).agg(F.count(F.lit(1)).alias(name)))), [*_KEY, by], "left")
     first = (
         F.when(F.col("n_typed") > 0, "typed")
         .when(F.col("authoritative") & F.col("c_token").isNotNull(), "none")
@@ -170,11 +217,12 @@ def _of_common_names(some: DataFrame, entries: DataFrame, bases: DataFrame, impo
         .when(F.col("n_named") < F.col("n_all"), "import_some")
         .otherwise("any")
     )
-    plain = [*of_ref, "class", "c_file", "c_token", "c_type", "tier"]
+    plain = [*of_ref, "class", "c_file", "c_token", "c_type", "tier", "alone"]
     decided = cut(some.filter("tier IS NOT NULL").select(*plain).unionByName(open_refs.withColumn("tier", then).select(*plain)))
 
     of = lambda *tiers: decided.filter(F.col("tier").isin(*tiers))
-    on = lambda refs, *by: refs.join(entries.select(*_KEY, *by, "candidate"), [*_KEY, *by])
+    wanted = entries.filter("wanted")
+    on = lambda refs, *by: refs.join(wanted.select(*_KEY, *by, "candidate"), [*_KEY, *by])
     joined = [
         on(of("typed"), "c_token"),
         on(of("only", "any")),
@@ -183,7 +231,7 @@ def _of_common_names(some: DataFrame, entries: DataFrame, bases: DataFrame, impo
         on(of("same_file"), "c_file"),
         on(of("import_one", "import_some").join(imported, "c_file"), "stem"),
     ]
-    return functools.reduce(DataFrame.unionByName, [df.select(F.col("source_node_id").alias("source"), F.col("candidate").alias("target"), "kind", "ref_id", "tier") for df in joined])
+    return functools.reduce(DataFrame.unionByName, [df.select(F.col("source_node_id").alias("source"), F.col("candidate").alias("target"), "kind", "ref_id", "tier", "alone") for df in joined])
 
 
 def affected_refs(refs: DataFrame, nodes: DataFrame, changed_files: DataFrame) -> DataFrame:
@@ -191,12 +239,24 @@ def affected_refs(refs: DataFrame, nodes: DataFrame, changed_files: DataFrame) -
 
     ``changed_files`` has ``file_path``. A reference of either kind comes once, those in changed files first.
     """
-    own = refs.join(changed_files, "file_path", "left_semi").withColumn("first", F.lit(0))
     here = nodes.join(changed_files, "file_path", "left_semi").filter(~F.col("kind").isin("file", "import"))
     names = here.select(F.col("name").alias("target_name")).union(here.select("qualified_name")).distinct()
-    others = refs.join(names, "target_name", "left_semi").withColumn("first", F.lit(1))
+    names = small(cut(names.join(small(cut(refs.select("target_name").distinct())), "target_name", "left_semi"))).withColumn("now", F.lit(1))
+    own = small(changed_files.select("file_path").distinct()).withColumn("first", F.lit(0))
+    either = refs.join(own, "file_path", "left").join(names, "target_name", "left").withColumn("first", F.coalesce("first", "now")).drop("now").filter("first IS NOT NULL")
     order = Window.partitionBy("source_node_id", "target_name", "kind").orderBy("first", "ref_id")
-    return own.unionByName(others).withColumn("n", F.row_number().over(order)).filter("n = 1").drop("n", "first")
+    return either.withColumn("n", F.row_number().over(order)).filter("n = 1").select(*refs.columns)
+
+
+def _redone(again: DataFrame) -> DataFrame:
+    return again.select(F.col("source_node_id").alias("source"), "target_name", "kind").distinct()
+
+
+def _without_stale(kept: DataFrame, redone: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``kept`` without edges to nodes by whose names ``redone`` asks. Edges look for their own names; names never meet all their nodes."""
+    named = nodes.select(F.col("id").alias("target"), F.explode(F.array_distinct(F.array("name", "qualified_name"))).alias("target_name"))
+    stale = kept.select("source", "target", "kind").join(named, "target").join(redone, ["source", "target_name", "kind"], "left_semi").select("source", "target", "kind").distinct()
+    return kept.join(stale, ["source", "target", "kind"], "left_anti")
 
 
 def resolve_incrementally(before: DataFrame, refs: DataFrame, nodes: DataFrame, edges: DataFrame, changed_files: DataFrame) -> DataFrame:
@@ -207,8 +267,26 @@ def resolve_incrementally(before: DataFrame, refs: DataFrame, nodes: DataFrame,
     again = affected_refs(refs, nodes, changed_files)
     live = nodes.join(changed_files, "file_path", "left_anti").select("id")
     kept = before.join(live.withColumnRenamed("id", "source"), "source", "left_semi").join(live.withColumnRenamed("id", "target"), "target", "left_semi")
-    redone = again.select(F.col("source_node_id").alias("source"), "target_name", "kind").distinct()
-    named = nodes.select(F.col("id").alias("target"), F.explode(F.array_distinct(F.array("name", "qualified_name"))).alias("target_name"))
-    stale = redone.join(named, "target_name").select("source", "target", "kind").distinct()
-    kept = kept.join(stale, ["source", "target", "kind"], "left_anti")
-    return kept.unionByName(resolve(again, nodes, edges, refs))
+    return _without_stale(kept, _redone(again), nodes).unionByName(resolve(again, nodes, edges, refs))
+
+
+def resolve_changed(refs: DataFrame, old: DataFrame, nodes: DataFrame, edges: DataFrame, changed_files: DataFrame) -> DataFrame:
+    """:func:`resolve_incrementally` where the edges before are those that ``refs`` have by ``old``.
+
+    What is left out of them is known by their references and targets, so it is never made:
+    only references that stay are resolved by ``old``. The nodes of files that did not change
+    are alike in ``old`` and ``nodes``.
+    """
+    refs, changed_files = cut(refs), cut(changed_files)
+    again = cut(affected_refs(refs, nodes, changed_files))
+    redone = _redone(again)
+    live = nodes.join(changed_files, "file_path", "left_anti").select("id")
+    stay = refs.join(live.withColumnRenamed("id", "source_node_id"), "source_node_id", "left_semi")
+    stay = cut(stay.join(redone.withColumnRenamed("source", "source_node_id"), ["source_node_id", "target_name", "kind"], "left_anti"))
+    anew = resolve(again, nodes, edges, refs)
+    if stay.isEmpty():
+        return anew
+    kept = resolve(stay, old, edges, refs, only_to=live)
+    if not twin_names(nodes, refs.select(F.col("target_name").alias("name_key")).distinct()).isEmpty():
+        kept = _without_stale(kept, redone, nodes)
+    return kept.unionByName(anew)
