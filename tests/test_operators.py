@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -309,3 +310,27 @@ def test_an_edge_by_two_names_is_found_anew_once(spark):
     n = [("t0", "function", "f", "m0::f", "d/0.rs"), ("t1", "function", "f", "m1::f", "d/1.rs"), ("s0", "function", "s0", "m::s0", "z.rs")]
     found = changed_edges(spark, n, [(1, "s0", "f", "calls", "z.rs", None), (2, "s0", "m1::f", "calls", "z.rs", None)])
     assert sorted((r["target"], r["tier"]) for r in found.collect()) == [("t0", "any"), ("t1", "any")]
+
+
+def test_candidates_are_all_pairs_however_lists_and_shares_are_cut(spark):
+    kinds = [None, "function", "method", "class", "trait", "enum", "protocol", "struct"]
+    nodes = [(f"n{i % 37}", kinds[i % 8], [None, "a", "b", "a::b"][i % 4], [None, "a", "m::a", "b", "a::b"][i % 5]) for i in range(80)]
+    refs = [(i % 50, ["a", "b", "a::b", "m::a", "gone", None][i % 6], ["calls", "extends", "implements", "instantiates", "imports", None, "references"][i % 7]) for i in range(100)]
+    allowed = lambda kind, node: kind not in resolve.TARGET_KINDS or node in resolve.TARGET_KINDS[kind]
+    want = Counter((r, k, i, n) for r, t, k in refs for i, n, *names in nodes if t is not None and t in names and allowed(k, n))
+    frames = spark.createDataFrame(refs, "ref_id long, target_name string, kind string"), spark.createDataFrame(nodes, "id string, kind string, name string, qualified_name string")
+    assert len(want) > 300
+    for how in ({}, {"listed": 3, "work": 20}):
+        found = resolve.candidates(*frames, **how).select("ref_id", "kind", "candidate", "node_kind").collect()
+        assert Counter(map(tuple, found)) == want
+    few = resolve.candidates(*frames, "name").filter("name IS NULL").count()
+    assert few == sum(r[1] is not None and allowed(r[2], n[1]) for r in refs for n in nodes if n[2] is None and r[1] == n[3])
+    assert resolve.candidates(frames[0].filter("ref_id < 0"), frames[1]).isEmpty() and resolve.candidates(frames[0], frames[1].filter("id = ''")).isEmpty()
+
+
+def test_written_candidates_of_common_names_take_little_space(spark, tmp_path):
+    refs = spark.range(6400).select(F.col("id").alias("ref_id"), F.concat(F.lit("f"), F.pmod(F.xxhash64("id"), F.lit(64))).alias("target_name"), F.lit("calls").alias("kind"))
+    nodes = spark.range(64 * 300).select(F.concat(F.lit("p"), "id").alias("id"), F.lit("method").alias("kind"), F.concat(F.lit("f"), F.col("id") % 64).alias("name"), F.concat(F.lit("m::p"), "id").alias("qualified_name"), F.lit("src/a.rs").alias("file_path"))
+    resolve.candidates(refs, nodes).select("ref_id", "candidate", "node_kind").write.parquet(f"{tmp_path}/pairs")
+    assert spark.read.parquet(f"{tmp_path}/pairs").count() == 6400 * 300
+    assert sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")) < 0.4 * 6400 * 300

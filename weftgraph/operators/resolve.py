@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ OTHER = "other"
 _KEY = ["name_key", "class"]
 #: Candidates of a name up to which its references meet the list of them.
 FEW = 64
+#: Nodes in a list of :func:`candidates`, pairs that a task makes, references of a name that it holds, and most tasks.
+LISTED, WORK, HELD, MOST_TASKS = 256, 8_000_000, 100_000, 20_000
 TIERS = {"typed": 0.98, "only": 1.00, "same_type": 0.97, "inherited": 0.85, "same_file": 0.90, "import_one": 0.80, "import_some": 0.60, "any": 0.40}
 
 
@@ -41,17 +44,35 @@ def compatible(edge_kind: Column, node_kind: Column) -> Column:
     return ok
 
 
-def candidates(refs: DataFrame, nodes: DataFrame, *extra: str) -> DataFrame:
-    """Pairs of references and nodes of that name or qualified name, of a kind that fits, with ``extra`` columns of the nodes.
+def candidates(refs: DataFrame, nodes: DataFrame, *extra: str, listed: int = LISTED, work: int = WORK) -> DataFrame:
+    """Pairs of references and nodes of that name or qualified name, of a kind that fits: ``refs``' columns, ``candidate``, ``node_kind`` and ``extra`` columns of the nodes.
 
-    ``name = x OR qualified_name = x`` as two equi-joins and a distinct union, since a
-    disjunction would be planned as a nested loop.
+    ``refs`` has ``ref_id, target_name, kind``. A node stands once under each name and class
+    of edges (:func:`_entries`), so that name, qualified name and kind are one equality. There may be far more
+    pairs than rows. A name's nodes go in lists of at most ``listed``, and a list meets all references
+    before the next one does: neighbouring rows repeat each other, and Parquet keeps them in less than half the
+    space. Tasks are dealt by pairs, about ``work`` each, not by the bytes of what they read; a name that has
+    more, or too many references to hold, goes to several tasks.
     """
-    node = nodes.select(F.col("id").alias("candidate"), F.col("kind").alias("node_kind"), "name", "qualified_name", F.col("file_path").alias("candidate_file"), *extra)
-    by_name = refs.join(node, refs["target_name"] == node["name"])
-    by_qualified = refs.join(node, refs["target_name"] == node["qualified_name"])
-    both = by_name.unionByName(by_qualified.filter("name <> qualified_name OR name IS NULL"))
-    return both.filter(compatible(F.col("kind"), F.col("node_kind")))
+    key = [*_KEY, "share"]
+    asking = refs.withColumn("name_key", F.col("target_name")).withColumn("class", edge_class(F.col("kind")))
+    asked = cut(asking.filter("name_key IS NOT NULL").groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n_refs")))
+    entries = _entries(nodes.select("id", "kind", "name", "qualified_name", *extra))
+    pairs = F.col("n_refs").cast("double") * F.col("n_all")
+    counts = entries.join(small(asked), _KEY).groupBy(*_KEY).agg(F.first("n_refs").alias("n_refs"), F.count(F.lit(1)).alias("n_all"))
+    counts = cut(counts.select(*_KEY, pairs.alias("pairs"), F.ceil(F.greatest(pairs / work, F.col("n_refs") / HELD)).cast("int").alias("shares")))
+    total = counts.agg(F.sum("pairs")).first()[0] or 0
+    tasks = max(1, min(max(math.ceil(total / work), refs.sparkSession.sparkContext.defaultParallelism), math.ceil(32 * total / work), MOST_TASKS))
+    shares = small(counts.select(*_KEY, "shares"))
+
+    one = F.struct(F.col("kind").alias("node_kind"), F.col("id").alias("candidate"), *extra)
+    dealt = entries.join(shares, _KEY).select(*_KEY, F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), one.alias("one")).repartition(tasks, *key)
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("one.node_kind", "one.candidate"))
+    lists = dealt.withColumn("list", F.floor((place - 1) / listed)).groupBy(*key, "list").agg(F.sort_array(F.collect_list("one")).alias("every"))
+    asking = asking.join(shares, _KEY).withColumn("share", F.pmod(F.xxhash64("ref_id"), F.col("shares")).cast("int")).drop("shares").repartition(tasks, *key)
+    # The left side is the one that a merge join walks through; the references of a name are held.
+    met = lists.hint("merge").join(asking, key).select(*refs.columns, F.explode("every").alias("one"))
+    return met.select(*refs.columns, "one.candidate", "one.node_kind", *[f"one.{c}" for c in extra])
 
 
 def import_segments(refs: DataFrame) -> DataFrame:
